@@ -8,6 +8,7 @@ packed binary row per target bucket (`packed`), so the shuffle moves bytes inste
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -97,6 +98,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: i
             j = max(i + 1, int(np.searchsorted(n, (n[i - 1] if i else 0) + max_bytes, "right")))
             yield b.slice(i, j - i)
             i = j
+        tidy()
 
 
 def strings(col: pa.Array) -> list[str]:
@@ -247,5 +249,14 @@ def joined(col: pa.ChunkedArray | pa.Array, dtype) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(b"".join(rows), dtype=dtype), np.array([len(r) // w for r in rows], dtype=np.int64)
 
 
-def worker_tmp() -> None:
+def tidy() -> None:
+    """Give memory that a worker no longer uses back to the system; its peak then follows one block, not the sum of many."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
+def single_threaded() -> None:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

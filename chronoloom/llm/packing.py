@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Pieces
-from .common import blocks, materialize, strings, worker_tmp
+from .common import blocks, materialize, single_threaded, strings
 
 LENGTH = 2048
 END = 1
@@ -29,7 +29,7 @@ _STATE: dict = {}
 def _encoder(path: str) -> Pieces:
     """Pieces by the tokenizers library; one for each worker process."""
     if path not in _STATE:
-        worker_tmp()
+        single_threaded()
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)

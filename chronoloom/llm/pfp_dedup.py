@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Roll, buckets, joined, packed, ragged, raw_bytes, text_block
+from .common import U64, Roll, buckets, joined, packed, ragged, raw_bytes, text_block, tidy
 
 SIZE, TRIGGER = 100, 32
 #: Triggers with more phrases than this go by fingerprints of their strings.
 HOT = 512
 #: Bytes hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 LAST = 2**63 - 1
 PARSE = "bucket int, q int, trigger binary, phrase binary"
 REPLY = "q int, trigger binary, kind binary"
@@ -112,6 +112,7 @@ def _cuts(row: np.ndarray, start: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def _texts(t: pa.Table) -> tuple[pa.Table, list[bytes]]:
     """The block in corpus order, and its texts."""
+    tidy()  # what the block before has left
     t = t.sort_by([("_key", "ascending"), ("_hash", "ascending")]).combine_chunks()
     col = t.column("text")
     return t, [b for c in col.chunks for b in raw_bytes(c)]
@@ -265,6 +266,7 @@ def _later(text: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def _settle(t: pa.Table) -> pa.Table:
     """One bucket of one kind: cuts for each block."""
+    tidy()
     kind = t.column("kind")[0].as_py()
     if kind == 0:
         return pa.table({"q": t.column("q"), "cuts": t.column("a")})
