@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Roll, buckets, joined, packed, ragged, raw_bytes, text_block, tidy
+from .common import U64, Roll, buckets, joined, mix, packed, ragged, raw_bytes, text_block, tidy
 
 SIZE, TRIGGER = 100, 32
 #: Triggers with more phrases than this go by fingerprints of their strings.
@@ -98,6 +98,11 @@ class Runs:
         return np.concatenate(row), np.concatenate(start), np.concatenate(print_)
 
 
+def _spread(trigger: np.ndarray) -> np.ndarray:
+    """Triggers are least hashes and so crowd at small values; these do not."""
+    return mix(trigger * U64(0x9E3779B97F4A7C15))
+
+
 def _firsts(key: np.ndarray) -> np.ndarray:
     """True where an item is the first with its key."""
     out = np.zeros(len(key), dtype=bool)
@@ -134,7 +139,7 @@ def _parse(n: int):
         kinds = np.add.reduceat((new | np.r_[True, p[1:] != p[:-1]]).astype(np.uint64), np.flatnonzero(new))
         # odd: the only phrase; even: twice the number of phrases
         value = np.where(kinds == 1, p[new] | U64(1), kinds * U64(2))
-        b = packed(g[new], n, trigger=g[new], phrase=value)
+        b = packed(_spread(g[new]), n, trigger=g[new], phrase=value)
         return pa.table({"bucket": b.column(0), "q": pa.array([q] * b.num_rows, pa.int32()), "trigger": b.column(1), "phrase": b.column(2)})
 
     return run
@@ -202,7 +207,7 @@ def _work(n: int):
                     p = packed(key[new], n, key=key[new], row=row[new].astype("<i4"), start=start[new].astype("<i4"))
                     rows += [(3, b, q, k, x, s) for b, k, x, s in zip(*(c.to_pylist() for c in p.columns), strict=True)]
             on = np.flatnonzero((kind == 2) & first)
-            bucket = ((r.trigger[on] >> U64(32)) * U64(n)) >> U64(32)
+            bucket = ((_spread(r.trigger[on]) >> U64(32)) * U64(n)) >> U64(32)
             order = np.argsort(bucket, kind="stable")
             on, bucket = on[order], bucket[order]
             at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(on) else []
