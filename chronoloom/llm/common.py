@@ -56,7 +56,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def buckets(spark: SparkSession) -> int:
     """Buckets of a packed exchange: several for each partition, so that hashing them evens out."""
-    return max(256, 4 * shuffle_partitions(spark))
+    return max(256, 2 * shuffle_partitions(spark))
 
 
 def crc_order(col: str):
