@@ -27,7 +27,7 @@ from .common import U64, Roll, blocks, mix, ragged, strings
 
 #: Distinct pieces a worker keeps; beyond it, the most used third stays.  Words: the latest two lots.
 PIECES = 600_000
-WORDS = 300_000
+WORDS = 800_000
 
 
 class Perfect:
@@ -93,6 +93,9 @@ class Bpe:
         self.length, self.start = n, np.cumsum(n) - n
         by_id = {i: w for w, i in ranks.items()}
         self.bytes = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(size)), dtype=np.uint8)
+        digits = [b"%d," % i for i in range(size)]
+        self.wide = np.array(list(map(len, digits)), dtype=np.int64)
+        self.digits, self.digit = np.frombuffer(b"".join(digits), dtype=np.uint8), np.cumsum(self.wide) - self.wide
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Bpe:
@@ -140,6 +143,10 @@ class Bpe:
         """The bytes of ids, as an array."""
         return self.bytes[ragged(self.start[ids], self.length[ids])]
 
+    def decimal(self, ids: np.ndarray) -> np.ndarray:
+        """The ids as decimal text, a comma after each."""
+        return self.digits[ragged(self.digit[ids], self.wide[ids])]
+
 
 def _raw(key: str) -> str:
     """A key's text.  Two spaces before: the text as it is.  Line feed before: what follows a line feed;
@@ -171,7 +178,7 @@ class Pieces:
     """Encodes texts piece by piece.
 
     encode: texts of pieces, and whether each may be put end to end with others (it is one space and
-    then characters without a space, no white space at its end), to lists of ids.
+    then characters without a space, no white space at its end), to all ids and each piece's number of them.
     """
 
     def __init__(self, encode, limit: int = PIECES):
@@ -205,15 +212,24 @@ class Pieces:
         if not new:
             return
         first = len(self.codes) - len(new)
-        edge = list(map(_edge, new))
-        lists = self.encode(list(map(_raw, new)), [not e and k[0] not in " \n" for e, k in zip(edge, new, strict=True)])
-        n = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        raw, plain, edge = [], [], []
+        for k in new:
+            if k.isalnum():
+                raw.append(" " + k)
+                plain.append(True)
+                edge.append(0)
+            else:
+                e = _edge(k)
+                raw.append(_raw(k))
+                plain.append(not e and k[0] not in " \n")
+                edge.append(e)
+        ids, n = self.encode(raw, plain)
         while len(self.at) < len(self.codes):
             self.at, self.count, self.edge, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.count, self.edge, self.uses))
-        total = int(n.sum())
+        total = len(ids)
         while len(self.ids) < self.used + total:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=total)
+        self.ids[self.used : self.used + total] = ids
         here = slice(first, len(self.codes))
         self.at[here], self.count[here] = self.used + np.cumsum(n) - n, n
         self.edge[here] = edge
@@ -234,14 +250,14 @@ class Pieces:
         """All ids end to end, and how many each text has."""
         if len(self.codes) > self.limit:
             self._trim()
-        get, rows = self.codes.__getitem__, []
+        get, codes, n = self.codes.__getitem__, [], []
         for t in texts:
             parts = t.replace("\n", " \n\n \n").split(" ")
             parts[0] = "  " + parts[0]
-            rows.append(list(map(get, parts)))
+            codes.extend(map(get, parts))
+            n.append(len(parts))
         self._learn()
-        n = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-        flat = np.fromiter(chain.from_iterable(rows), dtype=np.int64, count=int(n.sum()))
+        flat, n = np.array(codes, dtype=np.int64), np.array(n, dtype=np.int64)
         end = np.cumsum(n)
         edge = self.edge[flat]
         bad = np.zeros(len(flat), dtype=bool)
@@ -249,11 +265,11 @@ class Pieces:
         bad[end[:-1]] = False
         wrong = np.unique(np.searchsorted(end, np.flatnonzero(bad), "right"))
         if len(wrong):
+            rows = np.split(flat, end[:-1])
             for i in wrong.tolist():
-                rows[i] = list(map(get, self._split(texts[i])))
+                rows[i] = np.array(list(map(get, self._split(texts[i]))), dtype=np.int64)
             self._learn()
-            n = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-            flat = np.fromiter(chain.from_iterable(rows), dtype=np.int64, count=int(n.sum()))
+            flat, n = np.concatenate(rows), np.array(list(map(len, rows)), dtype=np.int64)
             end = np.cumsum(n)
         self.uses[: len(self.codes)] += np.bincount(flat, minlength=len(self.codes))
         c = self.count[flat]
@@ -265,13 +281,13 @@ class Pieces:
 class Encoder(Pieces):
     """Pieces by a Bpe."""
 
-    def __init__(self, bpe: Bpe, limit: int = PIECES):
+    def __init__(self, bpe: Bpe, limit: int = 2 * PIECES):
         self.bpe, self.find = bpe, regex.compile(bpe.pattern).findall
         self.words: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
         super().__init__(self._encode, limit)
 
-    def _encode(self, pieces: list[str], plain: list[bool]) -> list[list[int]]:
+    def _encode(self, pieces: list[str], plain: list[bool]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.words) > WORDS // 2:
             self.words, self.older = {}, self.words
         words, older, find = self.words, self.older, self.find
@@ -284,7 +300,9 @@ class Encoder(Pieces):
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
         for w, b, i in zip(new, raw, self.bpe.perfect.find(raw).tolist(), strict=True):
             words[w] = [i] if i >= 0 else self.bpe.merge(b)
-        return [words[s[0]] if len(s) == 1 else [i for w in s for i in words[w]] for s in split]
+        out = [words[s[0]] if len(s) == 1 else [i for w in s for i in words[w]] for s in split]
+        n = np.fromiter(map(len, out), dtype=np.int64, count=len(out))
+        return np.fromiter(chain.from_iterable(out), dtype=np.uint32, count=int(n.sum())), n
 
 
 _STATE: dict = {}
@@ -292,20 +310,20 @@ _STATE: dict = {}
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) and decoded bytes of each row of docs (doc_id, text)."""
-    return _run(docs, path, pattern, "doc_id bigint, ids binary, decoded binary", lambda ids, out: (ids.astype("<u4").tobytes(), out.tobytes()))
+    return _run(docs, path, pattern, "doc_id bigint, ids binary, decoded binary", lambda ids, out, text: (ids.astype("<u4").tobytes(), out.tobytes()))
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """As encode, but ids and bytes only as count and SHA-256."""
 
-    def of(ids, out):
-        return len(ids), hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest(), hashlib.sha256(out).hexdigest()
+    def of(ids, out, text):
+        return len(ids), hashlib.sha256(text).hexdigest(), hashlib.sha256(out).hexdigest()
 
     return _run(docs, path, pattern, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", of)
 
 
 def _run(docs: DataFrame, path: str, pattern: str, columns: str, of) -> DataFrame:
-    """of: one text's ids and decoded bytes to its values; the vocabulary is built once and broadcast."""
+    """of: one text's ids, decoded bytes and decimal ids with commas to its values; the vocabulary is built once and broadcast."""
     held = docs.sparkSession.sparkContext.broadcast(Bpe.load(path, pattern))
     schema = docs.sparkSession.createDataFrame([], columns).schema
     names = schema.names
@@ -320,9 +338,12 @@ def _run(docs: DataFrame, path: str, pattern: str, columns: str, of) -> DataFram
             ids, n = enc(strings(rb.column("text")))
             size = np.zeros(len(ids) + 1, dtype=np.int64)
             np.cumsum(enc.bpe.length[ids], out=size[1:])
-            out = enc.bpe.decode(ids)
+            out, text = enc.bpe.decode(ids), enc.bpe.decimal(ids)
+            wide = np.zeros(len(ids) + 1, dtype=np.int64)
+            np.cumsum(enc.bpe.wide[ids], out=wide[1:])
             end = np.cumsum(n)
-            rows = [of(ids[a:b], out[c:d]) for a, b, c, d in zip((end - n).tolist(), end.tolist(), size[end - n].tolist(), size[end].tolist(), strict=True)]
+            places = zip((end - n).tolist(), end.tolist(), size[end - n].tolist(), size[end].tolist(), wide[end - n].tolist(), wide[end].tolist(), strict=True)
+            rows = [of(ids[a:b], out[c:d], text[e : max(e, f - 1)]) for a, b, c, d, e, f in places]
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), *(pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, columns)

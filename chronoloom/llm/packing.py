@@ -11,6 +11,8 @@ empty table gives no pieces.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Pieces
-from .common import blocks, materialize, single_threaded, strings
+from .common import blocks, materialize, ragged, single_threaded, strings
 
 LENGTH = 2048
 END = 1
@@ -37,37 +39,38 @@ def _encoder(path: str) -> Pieces:
         size = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         size[list(vocab.values())] = list(map(len, vocab))  # a byte-level token has a character for each byte
 
-        def encode(pieces: list[str], plain: list[bool]) -> list[list[int]]:
+        def encode(pieces: list[str], plain: list[bool]) -> tuple[np.ndarray, np.ndarray]:
             """Plain pieces go through the library end to end, and their ids are dealt out by byte lengths."""
-            out: list[list[int]] = [[]] * len(pieces)
-            some = [i for i, p in enumerate(plain) if p]
+            some, rest = np.flatnonzero(plain), np.flatnonzero(~np.array(plain, dtype=bool))
+            parts, counts = [], []
             for a in range(0, len(some), 500):
-                part = some[a : a + 500]
-                raw = [pieces[i] for i in part]
-                ids = t.encode_batch_fast(["".join(raw)], add_special_tokens=False)[0].ids
-                at = np.cumsum(size[ids])
-                cut = np.searchsorted(at, np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in raw])) + 1
-                first = 0
-                for i, end in zip(part, cut.tolist(), strict=True):
-                    out[i], first = ids[first:end], end
-            rest = [i for i, p in enumerate(plain) if not p]
-            for i, e in zip(rest, t.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
-                out[i] = e.ids
-            return out
+                text = "".join([pieces[i] for i in some[a : a + 500].tolist()])
+                ids = np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+                at = np.flatnonzero(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8) == 32)  # a plain piece's only space
+                parts.append(ids)
+                counts.append(np.diff(np.append(np.searchsorted(np.cumsum(size[ids]) - size[ids], at), len(ids))))
+            odd = [e.ids for e in t.encode_batch_fast([pieces[i] for i in rest.tolist()], add_special_tokens=False)]
+            parts.append(np.fromiter(chain.from_iterable(odd), dtype=np.uint32))
+            counts.append(np.fromiter(map(len, odd), dtype=np.int64, count=len(odd)))
+            n, ids = np.concatenate(counts), np.concatenate(parts)
+            place = np.argsort(np.r_[some, rest])
+            return ids[ragged((np.cumsum(n) - n)[place], n[place])], n[place]
 
         _STATE[path] = Pieces(encode)
     return _STATE[path]
 
 
 def tokenise(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """doc_id, part, before (ids before it in the partition), n, ids (little-endian unsigned 32-bit, with end)."""
+    """doc_id, part, before (ids before it in the partition), n, ids (little-endian, n numbers of 16 or 32 bits, with end)."""
 
     def run(batches):
         enc, part, before = _encoder(path), TaskContext.get().partitionId(), 0
         for rb in blocks(batches):
             ids, n = enc(strings(rb.column("text")))
             stop = np.cumsum(n)
-            rows = [np.append(ids[a:b], np.uint32(end)).astype("<u4").tobytes() for a, b in zip((stop - n).tolist(), stop.tolist(), strict=True)]
+            kind = "<u2" if not len(ids) or max(ids.max(), end) < 1 << 16 else "<u4"
+            small, last = ids.astype(kind), np.array([end], dtype=kind).tobytes()
+            rows = [small[a:b].tobytes() + last for a, b in zip((stop - n).tolist(), stop.tolist(), strict=True)]
             n = n + 1
             first = before + np.cumsum(n) - n
             before += int(n.sum())
@@ -86,8 +89,10 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> Da
     def cut(batches):
         for rb in batches:
             cols: list[list] = [[] for _ in range(7)]
-            for doc, at, raw in zip(rb.column("doc_id").to_pylist(), rb.column("at").to_pylist(), rb.column("ids").to_pylist(), strict=True):
-                n, i = len(raw) // 4, 0
+            for doc, at, n, raw in zip(*(rb.column(c).to_pylist() for c in ("doc_id", "at", "n", "ids")), strict=True):
+                i = 0
+                if len(raw) < 4 * n:
+                    raw = np.frombuffer(raw, dtype="<u2").astype("<u4").tobytes()
                 while i < n:
                     g = at + i
                     m = min(n - i, length - g % length)
@@ -97,4 +102,4 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> Da
             kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in COLUMNS.split(", ")])
 
-    return table.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("before")).alias("at"), "ids").mapInArrow(cut, COLUMNS)
+    return table.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("before")).alias("at"), "n", "ids").mapInArrow(cut, COLUMNS)
