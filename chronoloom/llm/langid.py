@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from . import crf
 from .common import blocks, crc_order, seg_sum, strings
 
-#: Fitted on at most SAMPLE texts a language and LANGUAGES languages, none over SAMPLE_BYTES bytes.
-SAMPLE, LANGUAGES, SAMPLE_BYTES = 250, 64, 8_000
+#: Fitted on at most SAMPLE texts, evenly over at most LANGUAGES languages, none over SAMPLE_BYTES bytes.
+SAMPLE, LANGUAGES, SAMPLE_BYTES = 1000, 64, 6_000
 COLUMNS = "doc_id bigint, lang_pred string, score double"
 
 
@@ -74,7 +74,7 @@ def fit(docs: DataFrame, learn: Column) -> dict | None:
     langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     if not langs:
         return None
-    parts = [known.where(F.col("lang") == x).select("doc_id", "text", "lang").orderBy(crc_order("doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE) for x in langs]
+    parts = [known.where(F.col("lang") == x).select("doc_id", "text", "lang").orderBy(crc_order("doc_id"), "doc_id", F.xxhash64("text")).limit(-(-SAMPLE // len(langs))) for x in langs]
     texts, names = [], []
     for p in parts:
         got = p.toArrow()

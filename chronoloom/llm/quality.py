@@ -21,7 +21,7 @@ from .common import U64, WHITE, Roll, Spans, blocks, labelled_sample, mix, ragge
 
 BITS = 18
 #: Fitted on at most SAMPLE texts of each class, none over SAMPLE_BYTES bytes.
-SAMPLE, SAMPLE_BYTES = 1500, 20_000
+SAMPLE, SAMPLE_BYTES = 1000, 10_000
 #: A text is kept if its calibrated probability of good quality reaches this.
 THRESHOLD = 0.5
 SYMBOLS = table_of(b"#*$%&|<>")
@@ -130,20 +130,25 @@ def platt(z: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float
 
 def train(texts: list[str], y: np.ndarray, rounds: int = 60, scale: float = 100.0) -> dict | None:
     """Weights of the three families, bias, and calibration; None without both classes."""
-    b = Block.of([t.encode("utf-8", "surrogatepass") for t in texts])
-    passed = np.flatnonzero(~statistics(b)["base_failed"]) if texts else np.zeros(0, dtype=np.int64)
-    b, y = Block.of([texts[i].encode("utf-8", "surrogatepass") for i in passed]), y[passed]
+    col, row, val, labels, n = [], [], [], [], 0
+    for i in range(0, len(texts), 64):  # a few texts at a time: the driver holds their sparse rows only
+        b = Block.of([t.encode("utf-8", "surrogatepass") for t in texts[i : i + 64]])
+        passed = ~statistics(b)["base_failed"]
+        at = n + np.cumsum(passed) - 1
+        for f, (bucket, s, e) in enumerate(_features(b)):
+            doc = np.repeat(np.arange(len(s)), e - s)
+            key, count = np.unique((doc << BITS) | bucket[ragged(s, e - s)], return_counts=True)
+            d = key >> BITS
+            on = passed[d]
+            row.append(at[d[on]].astype(np.int32))
+            col.append(((key[on] & ((1 << BITS) - 1)) + (f << BITS)).astype(np.int32))
+            val.append((count[on] / np.maximum(e - s, 1)[d[on]] * scale).astype(np.float32))
+        labels.append(y[i : i + 64][passed])
+        n += int(passed.sum())
+    y = np.concatenate(labels) if labels else y
     if len(np.unique(y)) < 2:
         return None
-    col, row, val = [], [], []
-    for f, (bucket, s, e) in enumerate(_features(b)):
-        doc = np.repeat(np.arange(len(s)), e - s)
-        key, count = np.unique((doc << BITS) | bucket[ragged(s, e - s)], return_counts=True)
-        row.append(key >> BITS)
-        col.append((key & ((1 << BITS) - 1)) + (f << BITS))
-        val.append(count / np.maximum(e - s, 1)[key >> BITS] * scale)
-    order = np.argsort(np.concatenate(row), kind="stable")
-    row, col, val = (np.concatenate(x)[order] for x in (row, col, val))
+    row, col, val = (np.concatenate(x) for x in (row, col, val))
     used, col = np.unique(col, return_inverse=True)
     held = np.arange(len(y)) % 5 == 4
     if len(np.unique(y[held])) < 2:

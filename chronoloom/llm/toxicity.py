@@ -24,7 +24,7 @@ from .common import U64, Roll, blocks, labelled_sample, mix, seg_sum, strings
 from .quality import sigmoid
 
 #: Fitted on at most SAMPLE documents of each class, none over SAMPLE_BYTES bytes.
-SAMPLE, SAMPLE_BYTES = 1500, 20_000
+SAMPLE, SAMPLE_BYTES = 1000, 8_000
 THRESHOLD = 0.7
 #: A word or prefix is evidence from so many different surroundings on, and at so many times the clean rate.
 SUPPORT, LIFT = 4, 25
