@@ -39,7 +39,7 @@ def seconds_key(seconds: Column) -> Column:
 
 def human(key: Column) -> Column:
     p = parse_key(key)
-    return F.format_string("DAY%d %02d:%02d:%02d", p["day"], p["hour"], p["minute"], p["second"])
+    return F.when(p.isNotNull(), F.format_string("DAY%d %02d:%02d:%02d", p["day"], p["hour"], p["minute"], p["second"]))
 
 
 def clock_seconds(clock: Column) -> Column:
