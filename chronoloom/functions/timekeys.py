@@ -53,3 +53,34 @@ def srt_clock(seconds: Column, mark: str = ",") -> Column:
     """HH:MM:SS,mmm."""
     ms = F.bround(seconds * 1000).cast("bigint")
     return F.format_string(f"%02d:%02d:%02d{mark}%03d", F.floor(ms / 3600000).cast("bigint"), F.floor(ms % 3600000 / 60000).cast("bigint"), F.floor(ms % 60000 / 1000).cast("bigint"), ms % 1000)
+
+
+def roll_over(clock: Column) -> Column:
+    """HHMMSS with seconds and minutes of 60 or more carried on."""
+    s = F.floor(clock / 10000) * 3600 + F.floor(clock / 100) % 100 * 60 + clock % 100
+    return (F.floor(s / 3600) * 10000 + F.floor(s % 3600 / 60) * 100 + s % 60).cast("bigint")
+
+
+def time_range(text: Column) -> Column:
+    """struct(start, end) as integer keys of "DAY1 11:09:43 - DAY1 11:09:58"; null without two times."""
+    at = r"(?i)DAY\s*(\d+)\s+(\d{1,2}):(\d{2}):(\d{2})"
+    part = lambda i: F.regexp_extract_all(text, F.lit(at), i)
+    key = lambda n: F.concat(F.get(part(1), F.lit(n)), F.lpad(F.get(part(2), F.lit(n)), 2, "0"), F.get(part(3), F.lit(n)), F.get(part(4), F.lit(n)), F.lit("00")).try_cast("bigint")
+    return F.when(F.size(part(1)) >= 2, F.struct(key(0).alias("start"), key(1).alias("end")))
+
+
+def target_times(date: Column, time: Column, times: Column) -> Column:
+    """array of struct(start, end) keys: a range HHMMSSFFDAYd_HHMMSSFF, one time, or a list; single times have start = end."""
+    day = F.regexp_replace(date, "(?i)day", "")
+    key = lambda d, t: F.concat(d, F.lpad(t, 8, "0")).try_cast("bigint")
+    span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    g = [F.regexp_extract(time, r"(?i)^(\d+)DAY(\d+)_(\d+)$", i) for i in (1, 2, 3)]
+    got = F.when(g[0] != "", F.array(span(key(day, g[0]), key(g[1], g[2])))).when(F.length(time) > 0, F.array(span(key(day, time), key(day, time))))
+    got = F.coalesce(got, F.transform(times, lambda t: span(key(day, t), key(day, t))))
+    return F.filter(got, lambda x: x["start"].isNotNull() & x["end"].isNotNull())
+
+
+def file_clock(name: Column) -> Column:
+    """struct(day, clock) of a file name such as DAY1_A1_JAKE_11094208.mp4; null parts where it has none."""
+    part = lambda p: F.nullif(F.regexp_extract(name, p, 1), F.lit(""))
+    return F.struct(part(r"(?i)(DAY\d+)").alias("day"), part(r"(\d{8})(?=\.\w+$|$)").alias("clock"))

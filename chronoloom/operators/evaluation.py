@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Z = 1.96
@@ -33,3 +33,36 @@ def zero_safe(a: Column, b: Column) -> Column:
 def confidence(n: Column, margin: Column, saturation: float = 0.20, crowding: float = 0.05) -> Column:
     """min(margin / saturation, 1) / (1 + crowding * (n - 2)); under two matches it is 1."""
     return F.when(n < 2, 1.0).otherwise(F.least(F.greatest(margin, F.lit(0.0)) / saturation, F.lit(1.0)) / (1 + crowding * (n - 2)))
+
+
+def ranking(ranked: DataFrame, query: str, rank: str, relevant: Column, golds: Column, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """query, k and the metrics at k of one ranked table: precision, recall, hit, F1, AP (by the lesser of golds and k), reciprocal rank, linear NDCG.
+
+    relevant: of the row; golds: how many relevant items the query has, found or not.
+    """
+    w = Window.partitionBy(query).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
+    r = ranked.select(query, F.col(rank), relevant.cast("int").alias("_hit"), golds.alias("_g"))
+    r = r.withColumn("_r", F.row_number().over(Window.partitionBy(query).orderBy(rank))).withColumn("_h", F.sum("_hit").over(w))
+    at = r.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).withColumn("_in", (F.col("_r") <= F.col("k")) & (F.col("_hit") == 1))
+    g = at.groupBy(query, "k").agg(
+        F.max("_g").alias("_g"), F.count_if("_in").alias("_n"), F.sum(F.when(F.col("_in"), F.col("_h") / F.col("_r")).otherwise(0.0)).alias("_ap"),
+        F.min(F.when(F.col("_in"), F.col("_r"))).alias("_first"), F.sum(F.when(F.col("_in"), 1 / F.log2(F.col("_r") + 1.0)).otherwise(0.0)).alias("_dcg"),
+    )
+    few = F.least("_g", "k")
+    ideal = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(few, F.lit(1)).cast("bigint")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+    p, c = F.col("_n") / F.col("k"), F.when(F.col("_g") == 0, 1.0).otherwise(F.col("_n") / F.col("_g"))
+    return g.select(
+        query, "k", F.when(F.col("_g") == 0, 0.0).otherwise(p).alias("precision"), c.alias("recall"), (F.col("_n") > 0).cast("double").alias("hit"),
+        zero_safe(2 * p * c, p + c).alias("f1"), zero_safe(F.col("_ap"), few).alias("ap"), F.coalesce(1.0 / F.col("_first"), F.lit(0.0)).alias("rr"), zero_safe(F.col("_dcg"), F.when(few == 0, 0.0).otherwise(ideal)).alias("ndcg"),
+    )
+
+
+def score_report(scores: DataFrame, by: str, score: str) -> DataFrame:
+    """by, datasets, missing, mean of the scores there are."""
+    return scores.groupBy(by).agg(F.count("*").alias("datasets"), F.count_if(F.col(score).isNull()).alias("missing"), F.avg(score).alias("mean"))
+
+
+def merged_parts(scores: DataFrame, by: list[str], metric: str, score: str, parts: int, additive: tuple[str, ...] = ("evaluation_time",)) -> DataFrame:
+    """by, metric, score over the parts of a benchmark: the mean over all parts, a sum for additive metrics; only where all parts are there."""
+    g = scores.groupBy(*by, metric).agg(F.sum(score).alias("_s"), F.count("*").alias("_n")).where(F.col("_n") == parts)
+    return g.select(*by, metric, F.when(F.col(metric).isin(*additive), F.col("_s")).otherwise(F.col("_s") / parts).alias(score))

@@ -98,3 +98,20 @@ def carry_forward(df: DataFrame, by: str, order: str, labels: Column, limit: int
 def count_groups(df: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
     """part: n rows after one another share a number, within by."""
     return df.withColumn("part", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1) / n).cast("bigint"))
+
+
+def anchored_windows(df: DataFrame, by: str, start: str, width: float) -> DataFrame:
+    """window_start: the first window of each by begins at its first row, later ones at multiples of width.
+
+    A row belongs to the first window if it starts inside it; every other row's window is its own multiple,
+    so one minimum a group decides it and windows may overlap the first.
+    """
+    first = df.groupBy(by).agg(F.min(start).alias("_t0"))
+    inside = F.col(start) < F.col("_t0") + width
+    return df.join(first, by).withColumn("window_start", F.when(inside, F.col("_t0")).otherwise(F.floor(F.col(start) / width) * width).cast("double")).drop("_t0")
+
+
+def segments(cuts: DataFrame, by: str, time: str, ends: DataFrame, start: str, end: str) -> DataFrame:
+    """by, start, end: half-open stretches between the cuts of each timeline; ends has one row a timeline."""
+    t = cuts.select(by, F.col(time).alias("_t")).unionByName(ends.select(by, F.col(start).alias("_t"))).unionByName(ends.select(by, F.col(end).alias("_t"))).distinct()
+    return t.withColumn("_e", F.lead("_t").over(Window.partitionBy(by).orderBy("_t"))).where("_e is not null").select(by, F.col("_t").alias("start"), F.col("_e").alias("end"))
