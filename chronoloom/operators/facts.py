@@ -19,6 +19,14 @@ def fold_facts(triples: DataFrame) -> DataFrame:
     )
 
 
+def combine(facts: DataFrame) -> DataFrame:
+    """Partial stores (ks, kp, ko, first_seen, last_seen, support, variants) as one."""
+    return facts.groupBy("ks", "kp", "ko").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("support").alias("support"),
+        F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("variants")))), 1, VARIANTS).alias("variants"),
+    )
+
+
 def snapshot(facts: DataFrame, key: str | Column) -> DataFrame:
     """Facts first seen at or before key; facts do not expire."""
     return facts.where(F.col("first_seen") <= key)

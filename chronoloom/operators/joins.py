@@ -36,3 +36,33 @@ def containing(slots: DataFrame, entries: DataFrame, width: float, start: str =
     """Entries wholly inside a slot [slot * width, (slot + 1) * width]; those across an edge are lost, by definition."""
     e = entries.withColumn("slot", F.floor(F.col(start) / width).cast("bigint")).where(F.col(end) <= (F.col("slot") + 1) * width)
     return e.join(slots, "slot")
+
+
+def cascade(left: DataFrame, lookups: list[tuple[DataFrame, str]], value: str) -> DataFrame:
+    """left with value from the first lookup (table, key column of both sides) that has it, in order; of repeated keys the largest."""
+    for i, (table, key) in enumerate(lookups):
+        one = table.groupBy(key).agg(F.max(value).alias(f"_v{i}"))
+        left = left.join(one, key, "left")
+    names = [f"_v{i}" for i in range(len(lookups))]
+    return left.withColumn(value, F.coalesce(*names)).drop(*names)
+
+
+def required(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """left with right's value; the query fails on a row without a match."""
+    j = left.join(right.select(key, value, F.lit(True).alias("_found")), key, "left")
+    found = F.when(F.col("_found"), F.col(value)).otherwise(F.raise_error(F.concat(F.lit("no match for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(right.schema[value].dataType))
+    return j.withColumn(value, found).drop("_found")
+
+
+def or_empty(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """left with right's array, empty where there is none."""
+    return left.join(right.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.array().cast(right.schema[value].dataType)))
+
+
+def pooled(items: DataFrame, by: str, key: str, vectors: DataFrame, vec: str) -> DataFrame:
+    """by, vec (mean of the members' vectors, null if none), covered and missing members.  items: by, key."""
+    j = items.join(vectors.select(key, vec), key, "left")
+    n = j.groupBy(by).agg(F.count(vec).alias("covered"), F.count_if(F.col(vec).isNull()).alias("missing"))
+    x = j.where(F.col(vec).isNotNull()).select(by, F.posexplode(vec).alias("_i", "_x")).groupBy(by, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_x"))
+    mean = x.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("_i", "_x"))).alias("_m")).select(by, F.col("_m._x").alias(vec))
+    return n.join(mean, by, "left").select(by, vec, "covered", "missing")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.functions.vectors import dot
+from chronoloom.functions.vectors import cosine, dot
 
 BLOCK = 1024
 
@@ -71,3 +71,28 @@ def late_interaction(a: Column, b: Column) -> Column:
     """For each vector of array a the best dot product with one of array b, summed."""
     best = F.transform(a, lambda x: F.array_max(F.transform(b, lambda y: dot(x, y))))
     return F.aggregate(best, F.lit(0.0), lambda s, x: s + x)
+
+
+def approximate(queries: DataFrame, rows: DataFrame, key: str, vec: str, top: int, tables: int = 16, bits: int = 8, seed: int = 7) -> DataFrame:
+    """src, dst, score: the best rows by cosine among those that share a side of `bits` random planes in one of `tables` draws.
+
+    Candidates meet in equi-joins on (table, side), so nothing compares all with all; recall is measured in
+    the tests.  Planes come from the seed and the vectors' length, which the first row gives.
+    """
+    first = rows.where(F.col(vec).isNotNull()).select(F.size(vec)).first()
+    size = first[0] if first else 1
+    planes = np.random.default_rng(seed).normal(size=(size, tables * bits))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def sides(frames):
+        for f in frames:
+            m = np.stack([np.asarray(x, dtype=float) for x in f["x"]]) @ planes > 0 if len(f) else np.zeros((0, tables * bits), dtype=bool)
+            code = m.reshape(len(f), tables, bits) @ (1 << np.arange(bits))
+            yield pd.DataFrame({"id": np.repeat(f["id"].to_numpy(), tables), "x": np.repeat(f["x"].to_numpy(), tables), "t": np.tile(np.arange(tables), len(f)), "side": code.ravel()})
+
+    def coded(df: DataFrame) -> DataFrame:
+        return df.where(F.col(vec).isNotNull()).select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("x")).mapInPandas(sides, f"id {kind}, x array<double>, t int, side long")
+
+    q, r = coded(queries).select(F.col("id").alias("src"), F.col("x").alias("q"), "t", "side"), coded(rows).select(F.col("id").alias("dst"), "x", "t", "side")
+    scored = q.join(r, ["t", "side"]).where("src <> dst").select("src", "dst", cosine(F.col("q"), F.col("x")).alias("score")).dropDuplicates(["src", "dst"])
+    return scored.withColumn("_k", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst"))).where(F.col("_k") <= top).drop("_k")

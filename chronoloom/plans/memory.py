@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import textnorm as T
 from chronoloom.functions import timekeys as K
-from chronoloom.operators import facts
+from chronoloom.operators import facts, joins
 from chronoloom.sources import records
 
 from .base import TRIPLES, Registry, table, triples
@@ -177,3 +177,33 @@ SELECT doc_id, processed, trim(regexp_replace(regexp_replace(processed, '\\b(a|a
 def answer_forms(spark, d):
     docs = table(spark, d, "documents").select("doc_id", T.processed(F.col("text")).alias("processed"))
     return docs.select("doc_id", "processed", T.answer_form(F.col("processed")).alias("form"))
+
+
+@add("""WITH k AS (SELECT o_orderkey, o_custkey, year(o_orderdate) AS y FROM orders), a AS (SELECT l_orderkey AS o_orderkey, max(l_extendedprice) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+b AS (SELECT c_custkey AS o_custkey, max(c_acctbal) AS v FROM customer WHERE c_acctbal > 0 GROUP BY 1), c AS (SELECT y, max(o_totalprice) AS v FROM (SELECT *, year(o_orderdate) AS y FROM orders) GROUP BY 1)
+SELECT o_orderkey, coalesce(a.v, b.v, c.v) AS v FROM k LEFT JOIN a USING (o_orderkey) LEFT JOIN b USING (o_custkey) LEFT JOIN c USING (y)""")
+def cascading_lookup(spark, d):
+    o = table(spark, d, "orders").withColumn("y", F.year("o_orderdate"))
+    a = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("v"))
+    b = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("v"))
+    c = o.select("y", F.col("o_totalprice").alias("v"))
+    return joins.cascade(o.select("o_orderkey", "o_custkey", "y"), [(a, "o_orderkey"), (b, "o_custkey"), (c, "y")], "v").select("o_orderkey", "v")
+
+
+@add("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def required_lookup(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    return joins.required(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), n, "s_nationkey", "n_name").select("s_suppkey", "n_name")
+
+
+@add("""WITH t AS (SELECT doc_id, list(DISTINCT quality) AS q FROM labels GROUP BY 1) SELECT doc_id, CAST(coalesce(len(q), 0) AS BIGINT) AS labels FROM documents LEFT JOIN t USING (doc_id)""")
+def optional_lookup(spark, d):
+    t = table(spark, d, "labels").groupBy("doc_id").agg(F.collect_set("quality").alias("q"))
+    return joins.or_empty(table(spark, d, "documents").select("doc_id"), t, "doc_id", "q").select("doc_id", F.size("q").cast("bigint").alias("labels"))
+
+
+@add("""WITH i AS (SELECT doc_id AS vec_id, source FROM documents), n AS (SELECT source, count(embedding) AS covered, count(*) - count(embedding) AS missing FROM i LEFT JOIN embeddings USING (vec_id) GROUP BY 1),
+m AS (SELECT source, avg(CAST(embedding[1] AS DOUBLE)) AS x FROM i JOIN embeddings USING (vec_id) GROUP BY 1) SELECT source, round(x, 6) AS first_part, covered, missing FROM n LEFT JOIN m USING (source)""")
+def pooled_sources(spark, d):
+    i = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "source")
+    return joins.pooled(i, "source", "vec_id", table(spark, d, "embeddings"), "embedding").select("source", F.round(F.col("embedding")[0], 6).alias("first_part"), "covered", "missing")
