@@ -68,11 +68,15 @@ def normalise_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"(?i)^(the|a|an)\s+", ""))
 
 
-def fold(text: Column) -> Column:
-    t = F.lower(normalise_text(text))
+def one_person(t: Column) -> Column:
+    """First-person forms as i, of lower-case normalised text."""
     return F.when(t.isin(*FIRST_PERSON), "i").otherwise(t)
 
 
+def fold(text: Column) -> Column:
+    return one_person(F.lower(normalise_text(text)))
+
+
 def degenerate(s: Column, p: Column, o: Column) -> Column:
     """Of folded parts: no subject, neither predicate nor object, or an object equal to the subject."""
     return (s == "") | ((p == "") & (o == "")) | ((o != "") & (s == o))

@@ -11,12 +11,16 @@ VARIANTS = 8
 
 
 def fold_facts(triples: DataFrame) -> DataFrame:
-    """triples (s, p, o, node) to one row a fact: folded parts, first and last node, support and up to VARIANTS surface forms."""
-    k = triples.select("*", T.fold(F.col("s")).alias("ks"), T.fold(F.col("p")).alias("kp"), T.fold(F.col("o")).alias("ko"))
-    return (
-        k.where(~T.degenerate(F.col("ks"), F.col("kp"), F.col("ko"))).groupBy("ks", "kp", "ko")
-        .agg(F.min("node").alias("first_seen"), F.max("node").alias("last_seen"), F.count("*").alias("support"), F.slice(F.sort_array(F.collect_set(F.struct("s", "p", "o"))), 1, VARIANTS).alias("variants"))
-    )
+    """triples (s, p, o, node) to one row a fact: folded parts, first and last node, support and up to VARIANTS surface forms.
+
+    Equal surface forms are counted before anything is folded, so text work and the second shuffle grow with
+    the distinct forms.
+    """
+    once = triples.groupBy("s", "p", "o").agg(F.min("node").alias("first_seen"), F.max("node").alias("last_seen"), F.count("*").alias("support"))
+    # behind a generator the normalised texts are computed once a row; filters above it cannot pull them in again
+    n = once.select("*", F.explode(F.array(F.struct(*(F.lower(T.normalise_text(F.col(c))).alias(c) for c in "spo")))).alias("_n"))
+    k = n.select("*", *(T.one_person(F.col("_n")[c]).alias(f"k{c}") for c in "spo"))
+    return combine(k.where(~T.degenerate(F.col("ks"), F.col("kp"), F.col("ko"))).select("ks", "kp", "ko", "first_seen", "last_seen", "support", F.array(F.struct("s", "p", "o")).alias("variants")))
 
 
 def combine(facts: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def permutations(perms: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] for p in pairs], dtype=np.uint64), np.array([p[1] for p in pairs], dtype=np.uint64)
 
 
-def signature(text: str | None, perms: int = 256, words: int = 5, least: int = 5, chunk: int = 4096) -> np.ndarray:
+def signature(text: str | None, perms: int = 256, words: int = 5, least: int = 5, chunk: int = 512) -> np.ndarray:
     """perms minima over the text's distinct word n-grams, in wrapping 64-bit arithmetic; all MAX_HASH under `least` words."""
     w = SEPARATOR.split(text or "")
     out = np.full(perms, MAX_HASH, dtype=np.uint64)
@@ -51,7 +51,9 @@ def signature(text: str | None, perms: int = 256, words: int = 5, least: int = 5
     grams = {" ".join(w[i : i + words]) for i in range(len(w) - words + 1)}
     h = np.array([int.from_bytes(hashlib.sha1(g.encode()).digest()[:4], "little") for g in grams], dtype=np.uint64)
     for i in range(0, len(h), chunk):  # bounds memory on long texts
-        np.minimum(out, ((h[i : i + chunk, None] * a + b) % np.uint64(PRIME) & np.uint64(MAX_HASH)).min(axis=0), out=out)
+        x = h[i : i + chunk, None] * a + b
+        x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))  # the remainder by 2^61 - 1, or the divisor too much
+        np.minimum(out, (np.where(x >= PRIME, x - np.uint64(PRIME), x) & np.uint64(MAX_HASH)).min(axis=0), out=out)
     return out
 
 
