@@ -3,9 +3,9 @@
 Symbols are the corpus's most frequent words, counted over all documents, and a set of buckets by word
 ending for the others.  The network predicts every token from the SIDE tokens on both sides: position
 matrices are summed, squashed, and a two-level softmax (class, then member) gives the probability.
-Training is data-parallel: every task takes steps from the same start over its own documents (every
-document gives the same share of its positions), and the token-weighted mean of all tasks' weights
-is the next round's start.  A document's score is the sum of its tokens' log-probabilities.
+Training is data-parallel: every task takes steps from the same start over its own documents, and the
+token-weighted mean of all tasks' weights is the next round's start.  Every position of every document
+is a target in exactly one round, by its place in the document alone.  A document's score is the sum of its tokens' log-probabilities.
 
 A null text counts as empty and scores 0 over 0 tokens.  Repeated rows are scored one by one.  An empty
 table trains nothing and returns nothing.
@@ -23,8 +23,8 @@ from .common import PUNCT, U64, Roll, Spans, blocks, buckets, joined, packed, ra
 CLASSES, MEMBERS, ENDINGS = 64, 64, 256
 VOCAB = CLASSES * MEMBERS
 SIDE, DIM = 2, 24
-#: One position in STRIDE of every document is a training target in each round.
-STRIDE, ROUNDS, RATE = 16, 2, 0.4
+#: Round r takes the positions r, r + ROUNDS, ... of every document as targets, BATCH to a step.
+ROUNDS, RATE, BATCH = 2, 0.4, 4096
 #: A task's word counts go out when it holds so many distinct words.
 FLUSH = 1_500_000
 
@@ -61,6 +61,11 @@ class Tokens:
         return out
 
 
+def targets(doc: np.ndarray, at: np.ndarray, r: int) -> np.ndarray:
+    """Tokens that are targets in round r; doc: each token's text, at: where each text's tokens begin."""
+    return np.flatnonzero((np.arange(len(doc)) - at[doc]) % ROUNDS == r)
+
+
 def start(seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     w = {"u": rng.normal(0, 0.1, (2 * SIDE, VOCAB + 1, DIM)), "c": rng.normal(0, 0.1, (CLASSES, DIM)), "m": rng.normal(0, 0.1, (CLASSES, MEMBERS, DIM)), "cb": np.zeros(CLASSES), "mb": np.zeros((CLASSES, MEMBERS))}
@@ -85,7 +90,7 @@ def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _class_runs(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(cls, kind="stable")
+    order = np.argsort(cls.astype(np.uint16), kind="stable")  # 16 bits sort by radix
     at = np.searchsorted(cls[order], np.arange(CLASSES + 1))
     return order, at[:-1], at[1:]
 
@@ -124,7 +129,7 @@ def step(w: dict, sym: np.ndarray, ctx: np.ndarray, rate: float) -> None:
     w["cb"] -= rate32 * p.mean(0) * 8
     dh *= 1 - h * h
     for j in range(len(ctx)):
-        order = np.argsort(ctx[j], kind="stable")
+        order = np.argsort(ctx[j].astype(np.uint16), kind="stable")
         s = ctx[j][order]
         at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         g = np.add.reduceat(dh[order], at, axis=0)
@@ -190,10 +195,10 @@ def train(docs: DataFrame, words: np.ndarray, ids: np.ndarray) -> dict[str, np.n
                 sym = t.symbols(*known.value)
                 if not len(sym):
                     continue
-                on = np.flatnonzero((np.arange(len(sym)) - t.spans.at[:-1][t.spans.doc] + t.spans.doc) % STRIDE == r * (STRIDE // ROUNDS))
+                on = targets(t.spans.doc, t.spans.at, r)
                 ctx = t.contexts(sym)[:, on]
-                for a in range(0, len(on), 1024):
-                    step(w, sym[on[a : a + 1024]], ctx[:, a : a + 1024], RATE / (1 + r))
+                for a in range(0, len(on), BATCH):
+                    step(w, sym[on[a : a + BATCH]], ctx[:, a : a + BATCH], RATE / (1 + r))
                 seen += len(on)
             if seen:
                 yield pa.RecordBatch.from_pydict({"name": pa.array(list(w)), "sum": pa.array([(x * np.float32(seen)).tobytes() for x in w.values()], pa.binary()), "n": pa.array([seen] * len(w))})

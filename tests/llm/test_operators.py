@@ -236,6 +236,15 @@ def test_lm(spark, odd):
     assert same["mean_pll"] > -np.log(lm.VOCAB)  # better than chance
 
 
+def test_lm_targets_are_all_positions():
+    """Over the rounds each position is a target once, wherever its text stands in the block."""
+    for sizes in ([1, 3, 0, 7, 40, 2], [40, 7]):
+        at, doc = np.cumsum([0, *sizes]), np.repeat(np.arange(len(sizes)), sizes)
+        assert sorted(np.concatenate([lm.targets(doc, at, r) for r in range(lm.ROUNDS)]).tolist()) == list(range(sum(sizes)))
+    alone, after = lm.targets(np.zeros(40, dtype=int), np.array([0, 40]), 0), lm.targets(np.repeat([0, 1], [7, 40]), np.array([0, 7, 47]), 0)
+    assert alone.tolist() == [i - 7 for i in after if i >= 7]
+
+
 def test_lm_gradient():
     w = lm.start()
     rng = np.random.default_rng(0)
