@@ -7,19 +7,25 @@ from pyspark.sql import functions as F
 
 from chronoloom.operators.lineage import cut
 
+CUT = 8
+
 
 def pagerank(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
     """node, rank.  edges: src, dst, weight, both directions; seeds: node, weight summing to 1.
 
-    Nodes without edges send their rank to the seeds.  Two joins a round, pre-aggregated; callers cut
-    lineage by checkpoint() when rounds are many.
+    Nodes without edges send their rank to the seeds.  Two joins a round, pre-aggregated; lineage is cut
+    every CUT rounds.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     step = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).unionByName(seeds.select("node")).distinct()
     base = nodes.join(seeds, "node", "left").select("node", F.coalesce("weight", F.lit(0.0)).alias("reset"))
+    if rounds > CUT:
+        step, base = cut(step), cut(base)
     rank = base.withColumnRenamed("reset", "rank")
-    for _ in range(rounds):
+    for i in range(rounds):
+        if i and i % CUT == 0:
+            rank = cut(rank)
         moved = step.join(rank, step["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         rank = base.join(moved, base["node"] == moved["dst"], "left").select("node", ((1 - damping) * F.col("reset") + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
     return rank

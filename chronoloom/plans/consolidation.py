@@ -93,13 +93,18 @@ def _graph(spark, d):
     return graph.weighted_edges(c, c.select(F.concat(F.lit("c"), F.col("chunk")).alias("passage"), F.col("s").alias("entity")), spark.createDataFrame([("n0", "furniture", 0.9)], "src string, dst string, score double"))
 
 
-@add(None)
-def graph_retrieval(spark, d):
+def _seeds(spark, d):
+    """Weighted entities and scored passages that the search starts from."""
     c = _facts(spark, d)
     m = c.select(F.col("s").alias("entity"), "chunk").unionByName(c.select(F.col("o").alias("entity"), "chunk"))
     passages = retrieval.scaled(c.select(F.concat(F.lit("c"), F.col("chunk")).alias("passage"), "score"), "score")
     seeds = retrieval.seed_weights(retrieval.scaled(retrieval.best(c, "score", "chunk", 5), "score"), m, 5)
-    return retrieval.graph_rank(_graph(spark, d), seeds, passages, rounds=8).select("passage", F.round("rank", 6).alias("rank"))
+    return seeds, passages
+
+
+@add(None)
+def graph_retrieval(spark, d):
+    return retrieval.graph_rank(_graph(spark, d), *_seeds(spark, d)).select("passage", F.round("rank", 6).alias("rank"))
 
 
 @add("""WITH g AS (SELECT vec_id, label, embedding[1] AS s FROM embeddings) SELECT vec_id, label FROM g
