@@ -97,7 +97,7 @@ def sectioned_replies(spark, d):
 @add(None)
 def closest_benchmark(spark, d):
     kinds = F.array(*map(F.lit, ("the quick answer", "no answer at all", "something else")))
-    return table(spark, d, "benchmark").select("item_id", jsonfix.closest(F.substring("text", 1, 60), kinds).alias("closest"))
+    return table(spark, d, "benchmark").select("item_id", jsonfix.closest(F.col("text"), kinds).alias("closest"))
 
 
 COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
