@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import textnorm as T
-from chronoloom.operators import joins, sequences
+from chronoloom.operators import joins, sampling, sequences
 from chronoloom.streaming import sessions
 
 from .base import TIMELINE, Registry, table, timeline
@@ -28,11 +28,11 @@ def gap_segments(spark, d):
 @add("""WITH p AS (SELECT vec_id, embedding AS a, lag(embedding) OVER (ORDER BY vec_id) AS b FROM embeddings)
 SELECT vec_id, round(0.5 * list_sum(list_transform(list_zip(a, b), lambda z: abs(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) / 2 + 0.5 * list_avg(list_transform(list_zip(a, b), lambda z: abs(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))), 6) AS distance FROM p WHERE b IS NOT NULL""")
 def adjacent_distance(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    near = e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("b"))  # ids are dense: the row before is an equi-join, no single-task window
+    e = sampling.numbered(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id")
+    near = e.where("embedding is not null").select((F.col("_i") + 1).alias("_i"), F.col("embedding").alias("b"))  # the row before by rank: an equi-join, no single-task window
     diff = F.zip_with("embedding", "b", lambda x, y: F.abs(x.cast("double") - y.cast("double")))
     total = F.aggregate(diff, F.lit(0.0), lambda s, x: s + x)
-    return e.join(near, "vec_id").select("vec_id", F.round(0.5 * total / 2 + 0.5 * total / F.size("embedding"), 6).alias("distance"))
+    return e.join(near, "_i").select("vec_id", F.round(0.5 * total / 2 + 0.5 * total / F.size("embedding"), 6).alias("distance"))
 
 
 def _scored(spark, d):
