@@ -38,8 +38,8 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of full training sequences; ids only as their CRC-32."""
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    """Pieces of full training sequences, with a CRC-32 beside their ids."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER)).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeated_strings), ("secret scans", secret_redaction), ("packing", pack_sequences)]
