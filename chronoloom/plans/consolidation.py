@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronoloom.functions import vectors as V
 from chronoloom.operators import consolidate, graph, models, neardup, retrieval, similarity
 
-from .base import Registry, table
+from .base import Registry, table, triples
 
 QUERIES = Registry()
 add = QUERIES.add
@@ -39,12 +39,7 @@ def sleep_cycle_store(spark, d):
     def embed(x):
         return models.embed_distinct(x, "text", models.hashed_words)
 
-    li, su, pa = (table(spark, d, n) for n in ("lineitem", "supplier", "part"))
-    t = (
-        li.join(su, F.col("l_suppkey") == F.col("s_suppkey")).join(pa, F.col("l_partkey") == F.col("p_partkey"))
-        .select(F.concat(F.lit("nation "), "s_nationkey").alias("s"), F.col("l_returnflag").alias("p"), F.col("p_brand").alias("o"), F.date_format("l_shipdate", "yyyyMM").alias("node"))
-    )
-    store, _ = consolidate.sleep_cycles(t, embed, 0.8, 36, 6000)
+    store, _ = consolidate.sleep_cycles(triples(spark, d), embed)
     return store.drop("variants")
 
 
