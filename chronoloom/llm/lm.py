@@ -1,14 +1,22 @@
 """Masked pseudo-likelihood by a bidirectional window network trained in numpy.
 
-Symbols are the corpus's most frequent words, counted over all documents, and a set of buckets by word
-ending for the others.  The network predicts every token from the SIDE tokens on both sides: position
-matrices are summed, squashed, and a two-level softmax (class, then member) gives the probability.
-Training is data-parallel: every task takes steps from the same start over its own documents, and the
-token-weighted mean of all tasks' weights is the next round's start.  Every position of every document
-is a target in exactly one round, by its place in the document alone.  A document's score is the sum of its tokens' log-probabilities.
-
-A null text counts as empty and scores 0 over 0 tokens.  Repeated rows are scored one by one.  An empty
-table trains nothing and returns nothing.
+Every token is predicted from the SIDE tokens on both sides.  The network knows symbols: the corpus's
+most frequent words, counted over all documents, and a bucket by word ending for each of the others.
+Position matrices of the window's symbols are summed and squashed, and a two-level softmax (class, then
+member) gives the symbol's probability.  A word that shares a bucket is then told apart inside it: its
+count in the other documents of the corpus, with the mass of unseen words spelled byte by byte.  Both
+factors together are the token's conditional probability, so the vocabulary is open, and what is
+counted grows with the corpus.
+
+Training is data-parallel local descent: documents are dealt by a hash of their rows into shards of
+about SHARD bytes, every shard takes its steps from the same start, and the token-weighted mean of all
+shards' weights, summed up in a tree, is the next round's start.  Every position of every document is a
+target in exactly one round.  Neither shards nor steps depend on how the rows lie in files or
+partitions.  A document's score is the sum of its tokens' log-probabilities.
+
+doc_id is returned as bigint.  A null text counts as empty and scores 0 over 0 tokens.  Repeated rows
+are scored one by one, and count as other documents to each other.  An empty table trains nothing and
+returns nothing.
 """
 
 from __future__ import annotations
@@ -18,47 +26,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCT, U64, Roll, Spans, blocks, buckets, joined, packed, raw_bytes, seg_sum, text_block
+from .common import PUNCT, U64, Roll, Spans, blocks, buckets, joined, materialize, packed, raw_bytes, seg_sum, text_block, tidy
 
 CLASSES, MEMBERS, ENDINGS = 64, 64, 256
 VOCAB = CLASSES * MEMBERS
+WORDS = VOCAB - ENDINGS
 SIDE, DIM = 2, 24
 #: Round r takes the positions r, r + ROUNDS, ... of every document as targets, BATCH to a step.
 ROUNDS, RATE, BATCH = 2, 0.4, 4096
+#: Bytes of text of a shard in training and of a group in scoring; tokens worked on at a time.
+SHARD, GROUP, LOT = 16 << 20, 4 << 20, 1 << 17
 #: A task's word counts go out when it holds so many distinct words.
 FLUSH = 1_500_000
+#: Rows of a tile of the member level, and arrays that a node of the tree of means sums up.
+TILE, FAN = 64, 16
+STATS = "kind int, key bigint, total bigint, distinct bigint"
 
 
 class Tokens:
-    def __init__(self, col: pa.Array):
-        self.buf, self.first, self.end = text_block(raw_bytes(col))
+    def __init__(self, texts: list[bytes]):
+        self.buf, self.first, self.end = text_block(texts)
         self.spans = Spans(self.buf, self.first, self.end, PUNCT)
         self.roll = Roll(self.buf)
         self.hashes = self.roll.span(self.spans.s, self.spans.e)
 
+    def endings(self, on: np.ndarray) -> np.ndarray:
+        """Bucket of tokens by their last three bytes."""
+        e = self.spans.e[on]
+        return (self.roll.span(np.maximum(self.spans.s[on], e - 3), e) % U64(ENDINGS)).astype(np.int64)
+
     def symbols(self, words: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Symbols: of the known words (hashes in order, their ids), else by the last three bytes."""
-        uniq, inverse = np.unique(self.hashes, return_inverse=True)
-        out = np.full(len(uniq), -1, dtype=np.int64)
-        if len(words):
+        """Symbols: of the known words (hashes in order, their ids), else by ending."""
+        uniq, first, inverse = np.unique(self.hashes, return_index=True, return_inverse=True)
+        out = WORDS + self.endings(first)
+        if len(words) and len(uniq):
             i = np.minimum(np.searchsorted(words, uniq), len(words) - 1)
-            out = np.where(words[i] == uniq, ids[i], -1)
-        out = out[inverse]
-        odd = np.flatnonzero(out < 0)
-        e = self.spans.e[odd]
-        tail = self.roll.span(np.maximum(self.spans.s[odd], e - 3), e)
-        out[odd] = VOCAB - ENDINGS + (tail % U64(ENDINGS)).astype(np.int64)
-        return out
-
-    def contexts(self, sym: np.ndarray) -> np.ndarray:
-        """Symbols at -SIDE..-1 and 1..SIDE of each token; VOCAB outside the text."""
-        n, out = len(sym), np.full((2 * SIDE, len(sym)), VOCAB, dtype=np.int64)
-        for j, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-            a, b = max(0, -d), n - max(0, d)
-            if b > a:
-                same = self.spans.doc[a:b] == self.spans.doc[a + d : b + d]
-                out[j, a:b][same] = sym[a + d : b + d][same]
-        return out
+            out = np.where(words[i] == uniq, ids[i], out)
+        return out[inverse]
+
+    def spelled(self, on: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """Log-probability of tokens' bytes before their last three, and of the end."""
+        sums = np.zeros(len(self.buf) + 1)
+        np.cumsum(letters[self.buf], out=sums[1:])
+        s, e = self.spans.s[on], self.spans.e[on]
+        return sums[np.maximum(s, e - 3)] - sums[s] + letters[256]
+
+
+def contexts(sym: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Symbols at -SIDE..-1 and 1..SIDE of each token; VOCAB outside the text."""
+    n, out = len(sym), np.full((2 * SIDE, len(sym)), VOCAB, dtype=np.int64)
+    for j, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
+        a, b = max(0, -d), n - max(0, d)
+        if b > a:
+            same = doc[a:b] == doc[a + d : b + d]
+            out[j, a:b][same] = sym[a + d : b + d][same]
+    return out
 
 
 def targets(doc: np.ndarray, at: np.ndarray, r: int) -> np.ndarray:
@@ -66,6 +88,9 @@ def targets(doc: np.ndarray, at: np.ndarray, r: int) -> np.ndarray:
     return np.flatnonzero((np.arange(len(doc)) - at[doc]) % ROUNDS == r)
 
 
+# ---- network -------------------------------------------------------------------------------------
+
+
 def start(seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     w = {"u": rng.normal(0, 0.1, (2 * SIDE, VOCAB + 1, DIM)), "c": rng.normal(0, 0.1, (CLASSES, DIM)), "m": rng.normal(0, 0.1, (CLASSES, MEMBERS, DIM)), "cb": np.zeros(CLASSES), "mb": np.zeros((CLASSES, MEMBERS))}
@@ -73,39 +98,50 @@ def start(seed: int = 5) -> dict[str, np.ndarray]:
 
 
 def _hidden(w: dict, ctx: np.ndarray) -> np.ndarray:
-    h = w["u"][0][ctx[0]]
+    h = np.take(w["u"][0], ctx[0], axis=0)
     for j in range(1, len(ctx)):
-        h += w["u"][j][ctx[j]]
+        h += np.take(w["u"][j], ctx[j], axis=0)
     return np.tanh(h, out=h)
 
 
-def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities (in place of z) and the log normaliser."""
-    top = z.max(1, keepdims=True)
-    z -= top
+def _exp(z: np.ndarray, at: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of logits: those at the places, exponentials (in place of z) and their sums."""
+    np.minimum(z, 60, out=z)
+    picked = z[at]
     np.exp(z, out=z)
-    s = z.sum(1, keepdims=True)
-    z /= s
-    return z, (np.log(s) + top)[:, 0]
+    return picked, z, z @ np.ones(z.shape[1], dtype=np.float32)
 
 
-def _class_runs(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(cls.astype(np.uint16), kind="stable")  # 16 bits sort by radix
-    at = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    return order, at[:-1], at[1:]
+class _Tiles:
+    """Rows sorted by class and padded to tiles of TILE rows of one class, so that the members' matrices multiply in one batch."""
+
+    def __init__(self, cls: np.ndarray):
+        self.order = np.argsort(cls.astype(np.uint16), kind="stable")  # 16 bits sort by radix
+        self.count = np.bincount(cls, minlength=CLASSES)
+        tiles = -(-self.count // TILE)
+        self.first = np.cumsum(tiles) - tiles
+        c = cls[self.order]
+        self.place = self.first[c] * TILE + np.arange(len(cls)) - (np.cumsum(self.count) - self.count)[c]
+        self.of = np.repeat(np.arange(CLASSES), tiles)
+
+    def put(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.of) * TILE, h.shape[1]), dtype=np.float32)
+        out[self.place] = h[self.order]
+        return out.reshape(-1, TILE, h.shape[1])
+
+    def logits(self, h: np.ndarray, w: dict) -> np.ndarray:
+        return (np.matmul(h, w["m"][self.of].transpose(0, 2, 1)) + w["mb"][self.of][:, None, :]).reshape(-1, MEMBERS)
 
 
 def log_probs(w: dict, sym: np.ndarray, ctx: np.ndarray) -> np.ndarray:
     h = _hidden(w, ctx)
     cls, mem = sym % CLASSES, sym // CLASSES
-    z = h @ w["c"].T + w["cb"]
-    out = z[np.arange(len(z)), cls] - _softmax(z)[1]
-    order, a, b = _class_runs(cls)
-    for c in np.flatnonzero(b > a):
-        i = order[a[c] : b[c]]
-        z = h[i] @ w["m"][c].T + w["mb"][c]
-        out[i] += z[np.arange(len(z)), mem[i]] - _softmax(z)[1]
-    return out.astype(np.float64)
+    z, _, s = _exp(h @ w["c"].T + w["cb"], (np.arange(len(sym)), cls))
+    out = (z - np.log(s)).astype(np.float64)
+    t = _Tiles(cls)
+    z, _, s = _exp(t.logits(t.put(h), w), (t.place, mem[t.order]))
+    out[t.order] += z - np.log(s[t.place])
+    return out
 
 
 def step(w: dict, sym: np.ndarray, ctx: np.ndarray, rate: float) -> None:
@@ -113,18 +149,24 @@ def step(w: dict, sym: np.ndarray, ctx: np.ndarray, rate: float) -> None:
     n = len(sym)
     h = _hidden(w, ctx)
     cls, mem = sym % CLASSES, sym // CLASSES
-    p = _softmax(h @ w["c"].T + w["cb"])[0]
+    rate32 = np.float32(rate)
+    _, p, s = _exp(h @ w["c"].T + w["cb"], (np.arange(n), cls))
+    p /= s[:, None]
     p[np.arange(n), cls] -= 1
     dh = p @ w["c"]
-    order, a, b = _class_runs(cls)
-    rate32 = np.float32(rate)
-    for c in np.flatnonzero(b > a):
-        i = order[a[c] : b[c]]
-        q = _softmax(h[i] @ w["m"][c].T + w["mb"][c])[0]
-        q[np.arange(len(i)), mem[i]] -= 1
-        dh[i] += q @ w["m"][c]
-        w["m"][c] -= rate32 * (q.T @ h[i]) / len(i)
-        w["mb"][c] -= rate32 * q.mean(0)
+    t = _Tiles(cls)
+    rows = t.put(h)
+    _, q, s = _exp(t.logits(rows, w), (t.place, mem[t.order]))
+    scale = np.zeros(len(q), dtype=np.float32)  # 0 for padding
+    scale[t.place] = 1 / s[t.place]
+    q *= scale[:, None]
+    q[t.place, mem[t.order]] -= 1
+    q = q.reshape(-1, TILE, MEMBERS)
+    dh[t.order] += np.matmul(q, w["m"][t.of]).reshape(-1, DIM)[t.place]
+    some = np.flatnonzero(t.count)
+    k = t.count[some].astype(np.float32)
+    w["m"][some] -= rate32 * np.add.reduceat(np.matmul(q.transpose(0, 2, 1), rows), t.first[some], axis=0) / k[:, None, None]
+    w["mb"][some] -= rate32 * np.add.reduceat(q.sum(1), t.first[some], axis=0) / k[:, None]
     w["c"] -= rate32 * (p.T @ h) / n * 8
     w["cb"] -= rate32 * p.mean(0) * 8
     dh *= 1 - h * h
@@ -132,103 +174,277 @@ def step(w: dict, sym: np.ndarray, ctx: np.ndarray, rate: float) -> None:
         order = np.argsort(ctx[j].astype(np.uint16), kind="stable")
         s = ctx[j][order]
         at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        g = np.add.reduceat(dh[order], at, axis=0)
+        g = np.add.reduceat(np.take(dh, order, axis=0), at, axis=0)
         k = np.diff(np.r_[at, n])[:, None].astype(np.float32)
         w["u"][j][s[at]] -= rate32 * g / np.sqrt(k)  # frequent symbols take damped sums
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (in order) and symbols of the most frequent words of all documents, ties to the smaller hash."""
-    n = buckets(docs.sparkSession)
+def train_shard(w: dict, sym: np.ndarray, count: np.ndarray, r: int) -> int:
+    """Round r over a shard (symbols of its documents end to end, tokens of each), in place; the number of targets."""
+    end = np.cumsum(count)
+    seen, i = 0, 0
+    while i < len(count):
+        a = int(end[i] - count[i])
+        j = max(i + 1, int(np.searchsorted(end, a + LOT, "right")))
+        doc = np.repeat(np.arange(j - i), count[i:j])
+        s = sym[a : int(end[j - 1])].astype(np.int64)
+        on = targets(doc, np.r_[0, end[i:j] - a], r)
+        ctx = contexts(s, doc)[:, on]
+        for b in range(0, len(on), BATCH):
+            step(w, s[on[b : b + BATCH]], ctx[:, b : b + BATCH], RATE / (1 + r))
+        seen += len(on)
+        i = j
+    return seen
 
-    def count(batches):
-        held: list = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            h, c = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-            order = np.argsort(h, kind="stable")
-            h = h[order]
-            at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            return h[at], np.add.reduceat(c[order], at)
+# ---- counts --------------------------------------------------------------------------------------
 
-        size = 0
+
+def _merged(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes in order, with their counts and endings."""
+    h, c, e = (np.concatenate([x[i] for x in held]) for i in range(3))
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, dtype=np.int64)
+    return h[at], np.add.reduceat(c[order], at) if len(h) else c, e[order][at]
+
+
+def _count(n: int):
+    """Of a task's documents: counts and endings of its words, packed by bucket; counts of bytes and tokens, in buckets below 0."""
+    names = ["bucket", "word", "count", "ending"]
+
+    def run(batches):
+        held, size, letters = [], 0, np.zeros(257, dtype=np.int64)
         for rb in blocks(batches):
-            h, c = np.unique(Tokens(rb.column("text")).hashes, return_counts=True)
-            held.append((h, c.astype(np.int64)))
+            t = Tokens(raw_bytes(rb.column("text")))
+            h, first, c = np.unique(t.hashes, return_index=True, return_counts=True)
+            letters[:256] += np.bincount(t.buf[~PUNCT[t.buf]], minlength=256)
+            letters[256] += len(t.hashes)
+            held.append((h, c.astype(np.int64), t.endings(first).astype(np.uint8)))
             size += len(h)
             if size > FLUSH:
-                held[:] = [merged()]
+                held = [_merged(held)]
                 size = len(held[0][0])
                 if size > FLUSH // 2:
-                    yield packed(held[0][0], n, word=held[0][0], count=held[0][1].astype(np.uint32))
+                    h, c, e = held[0]
+                    yield packed(h, n, word=h, count=c, ending=e)
                     held, size = [], 0
         if held:
-            h, c = merged()
+            h, c, e = _merged(held)
             if len(h):
-                yield packed(h, n, word=h, count=c.astype(np.uint32))
+                yield packed(h, n, word=h, count=c, ending=e)
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - int(h[0] % U64(n))], pa.int32()), pa.array([b""]), pa.array([letters.tobytes()]), pa.array([b""])], names=names)
+
+    return run
+
+
+def _stats(t: pa.Table) -> pa.Table:
+    """Of a bucket: 0 its most frequent words; 1 tokens and distinct words of each ending; 2 bytes and (256) tokens."""
+    counts = joined(t.column("count"), np.int64)[0]
+    if t.column("bucket")[0].as_py() < 0:
+        total = counts.reshape(-1, 257).sum(0)
+        return _rows([2] * 257, np.arange(257), total, np.zeros(257, dtype=np.int64))
+    h, c, e = _merged([(joined(t.column("word"), np.uint64)[0], counts, joined(t.column("ending"), np.uint8)[0])])
+    top = np.lexsort((h.view(np.int64), -c))[:WORDS]
+    by, kinds = np.bincount(e, c, minlength=ENDINGS).astype(np.int64), np.bincount(e, minlength=ENDINGS)
+    return pa.concat_tables([_rows([0] * len(top), h[top].view(np.int64), c[top], e[top].astype(np.int64)), _rows([1] * ENDINGS, np.arange(ENDINGS), by, kinds)])
+
+
+def _rows(kind, key, total, distinct) -> pa.Table:
+    return pa.table([pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(total, pa.int64()), pa.array(distinct, pa.int64())], names=[x.split()[0] for x in STATS.split(", ")])
 
-    def best(t: pa.Table) -> pa.Table:
-        h, c = joined(t.column("word"), np.uint64)[0], joined(t.column("count"), np.uint32)[0]
-        u, i = np.unique(h, return_inverse=True)
-        total = np.bincount(i, c).astype(np.int64)
-        top = np.lexsort((u, -total))[: VOCAB - ENDINGS]
-        return pa.table({"word": pa.array(u[top].view(np.int64)), "total": pa.array(total[top])})
 
-    rows = docs.select("text").mapInArrow(count, "bucket int, word binary, count binary").groupBy("bucket").applyInArrow(best, "word bigint, total bigint")
-    got = rows.orderBy(F.desc("total"), "word").limit(VOCAB - ENDINGS).toArrow()
-    words = got.column("word").to_numpy().view(np.uint64)
-    order = np.argsort(words)
-    return words[order], order.astype(np.int64)
+def _best(t: pa.Table) -> pa.Table:
+    order = np.lexsort((t.column("key").to_numpy(), -t.column("total").to_numpy()))[:WORDS]
+    return t.select([x.split()[0] for x in STATS.split(", ")]).take(pa.array(order))
 
 
-def train(docs: DataFrame, words: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
+class Counts:
+    """What scoring must know of the corpus: fixed in size.
+
+    words, ids: hashes of the most frequent words (in order) and their symbols; tokens, kinds: tokens and
+    distinct words of each ending besides those; letters: log-probabilities of bytes and of a word's end.
+    """
+
+    def __init__(self, docs: DataFrame):
+        n = buckets(docs.sparkSession)
+        table = docs.select("text").mapInArrow(_count(n), "bucket int, word binary, count binary, ending binary").groupBy("bucket").applyInArrow(_stats, STATS)
+        table = materialize(table, "lm-counts")
+        top, width = table.where("kind = 0"), n
+        while width > FAN:  # a tree: no task reads more than FAN nodes' words
+            width = -(-width // FAN)
+            top = top.groupBy(F.pmod("key", F.lit(width)).alias("node")).applyInArrow(_best, STATS)
+        top = top.orderBy(F.desc("total"), "key").limit(WORDS).toArrow()
+        words = top.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(words)
+        self.words, self.ids = words[order], order.astype(np.int64)
+        self.tokens, self.kinds, letters = np.zeros(ENDINGS), np.zeros(ENDINGS), np.zeros(257)
+        for r in table.where("kind > 0").groupBy("kind", "key").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).collect():  # at most 513 rows
+            if r["kind"] == 1:
+                self.tokens[r["key"]], self.kinds[r["key"]] = r["total"], r["distinct"]
+            else:
+                letters[r["key"]] = r["total"]
+        ending = top.column("distinct").to_numpy()
+        self.tokens -= np.bincount(ending, top.column("total").to_numpy(), minlength=ENDINGS)
+        self.kinds -= np.bincount(ending, minlength=ENDINGS)
+        self.letters = np.log((letters + 0.5) / (letters + 0.5).sum())
+
+
+# ---- training ------------------------------------------------------------------------------------
+
+
+def _dealt(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, text, a hash of both, and q: the part of about size bytes of text that the hash gives."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    n = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // size)
+    h = F.xxhash64("doc_id", "text")
+    return rows.withColumn("h", h).withColumn("q", F.pmod(h, F.lit(max(1, n))))
+
+
+def _symbolise(held):
+    def run(batches):
+        for rb in blocks(batches):
+            t = Tokens(raw_bytes(rb.column("text")))
+            sym = t.symbols(*held.value).astype("<u2")
+            yield pa.RecordBatch.from_arrays([rb.column("q"), rb.column("h"), pa.array([sym[a:b].tobytes() for a, b in zip(t.spans.at[:-1].tolist(), t.spans.at[1:].tolist(), strict=True)], pa.binary())], names=["q", "h", "sym"])
+
+    return run
+
+
+def _shard(t: pa.Table) -> pa.Table:
+    t = t.sort_by([("h", "ascending"), ("sym", "ascending")])
+    raw = t.column("sym").to_pylist()
+    count = np.array([len(x) // 2 for x in raw], dtype=np.int64)
+    return pa.table({"q": t.column("q").slice(0, 1), "sym": pa.array([b"".join(raw)], pa.binary()), "count": pa.array([count.tobytes()], pa.binary())})
+
+
+def _mean(t: pa.Table) -> pa.Table:
+    """One array of several shards: their mean, weighted by targets, in the order of the shards."""
+    t = t.sort_by("q")
+    total, n = 0.0, 0
+    for x, k in zip(t.column("value"), t.column("n").to_pylist(), strict=True):
+        total = total + np.frombuffer(x.as_buffer(), dtype=np.float32).astype(np.float64) * k
+        n += k
+    return pa.table({"q": pa.array([t.column("q")[0].as_py() // FAN], pa.int64()), "name": t.column("name").slice(0, 1), "value": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
+
+
+def train(docs: DataFrame, words: np.ndarray, ids: np.ndarray, shard: int = SHARD) -> dict[str, np.ndarray]:
     sc = docs.sparkSession.sparkContext
     w = start()
+    dealt = _dealt(docs, shard)
     known = sc.broadcast((words, ids))
+    shards = materialize(dealt.mapInArrow(_symbolise(known), "q bigint, h bigint, sym binary").where("length(sym) > 0").groupBy("q").applyInArrow(_shard, "q bigint, sym binary, count binary"), "lm-shards")
+    width = (shards.agg(F.max("q")).first()[0] or 0) + 1
     for r in range(ROUNDS):
         held = sc.broadcast(w)
 
         def local(batches, held=held, r=r):
-            w, seen = {k: x.copy() for k, x in held.value.items()}, 0
-            for rb in blocks(batches):
-                t = Tokens(rb.column("text"))
-                sym = t.symbols(*known.value)
-                if not len(sym):
-                    continue
-                on = targets(t.spans.doc, t.spans.at, r)
-                ctx = t.contexts(sym)[:, on]
-                for a in range(0, len(on), BATCH):
-                    step(w, sym[on[a : a + BATCH]], ctx[:, a : a + BATCH], RATE / (1 + r))
-                seen += len(on)
-            if seen:
-                yield pa.RecordBatch.from_pydict({"name": pa.array(list(w)), "sum": pa.array([(x * np.float32(seen)).tobytes() for x in w.values()], pa.binary()), "n": pa.array([seen] * len(w))})
-
-        def mean(t: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x.as_py(), dtype=np.float32).astype(np.float64) for x in t.column("sum"))
-            n = sum(t.column("n").to_pylist())
-            return pa.table({"name": t.column("name").slice(0, 1), "mean": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
-
-        parts = docs.select("text").mapInArrow(local, "name string, sum binary, n bigint")
-        got = parts.groupBy("name").applyInArrow(mean, "name string, mean binary").collect()  # the model itself, of fixed size
-        for row in got:
-            w[row["name"]] = np.frombuffer(row["mean"], dtype=np.float32).reshape(w[row["name"]].shape).copy()
+            for rb in batches:
+                for i in range(rb.num_rows):
+                    w = {k: x.copy() for k, x in held.value.items()}
+                    n = train_shard(w, np.frombuffer(rb.column("sym")[i].as_buffer(), "<u2"), np.frombuffer(rb.column("count")[i].as_buffer(), np.int64), r)
+                    if n:
+                        yield pa.RecordBatch.from_pydict({"q": pa.array([rb.column("q")[i].as_py()] * len(w)), "name": pa.array(list(w)), "value": pa.array([x.tobytes() for x in w.values()], pa.binary()), "n": pa.array([n] * len(w))})
+                    tidy()
+
+        parts, k = shards.mapInArrow(local, "q bigint, name string, value binary, n bigint"), width
+        while k > 1:
+            parts = parts.groupBy("name", F.expr(f"q div {FAN}").alias("node")).applyInArrow(_mean, "q bigint, name string, value binary, n bigint")
+            k = -(-k // FAN)
+        for row in parts.collect():  # the model itself, of fixed size
+            w[row["name"]] = np.frombuffer(row["value"], dtype=np.float32).reshape(w[row["name"]].shape).copy()
     return w
 
 
-def score(docs: DataFrame) -> DataFrame:
+# ---- scoring -------------------------------------------------------------------------------------
+
+
+def _lots(t: pa.Table):
+    """A group's rows in a fixed order, in lots: their ids, and their tokens."""
+    tidy()
+    t = t.sort_by([("h", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    for rb in t.to_batches():
+        for b in blocks([rb]):
+            yield b.column("doc_id"), Tokens(raw_bytes(b.column("text")))
+
+
+def _strangers(t: Tokens, words: np.ndarray) -> np.ndarray:
+    """Tokens outside the most frequent words."""
+    if not len(words):
+        return np.arange(len(t.hashes))
+    return np.flatnonzero(words[np.minimum(np.searchsorted(words, t.hashes), len(words) - 1)] != t.hashes)
+
+
+def _ask(n: int, held):
+    def run(t: pa.Table) -> pa.Table:
+        q, words = t.column("q")[0].as_py(), held.value[0].words
+        found = []
+        for _, tok in _lots(t):
+            h, c = np.unique(tok.hashes[_strangers(tok, words)], return_counts=True)
+            found.append((h, c.astype(np.int64), np.zeros(len(h), dtype=np.uint8)))
+        h, c, _ = _merged(found)
+        if not len(h):
+            return pa.table({"bucket": pa.nulls(0, pa.int32()), "q": pa.nulls(0, pa.int64()), "word": pa.nulls(0, pa.binary()), "count": pa.nulls(0, pa.binary())})
+        p = packed(h, n, word=h, count=c.astype("<u4"))
+        return pa.table({"bucket": p.column(0), "q": pa.array([q] * p.num_rows, pa.int64()), "word": p.column(1), "count": p.column(2)})
+
+    return run
+
+
+def _tell(t: pa.Table) -> pa.Table:
+    """A bucket's words: to each group that asked, their counts in the corpus, in the order of its question."""
+    h, n = joined(t.column("word"), np.uint64)
+    uniq, inverse = np.unique(h, return_inverse=True)
+    total = np.bincount(inverse, joined(t.column("count"), "<u4")[0], minlength=len(uniq)).astype("<u8")[inverse]
+    end = np.cumsum(n)
+    return pa.table({"q": t.column("q"), "bucket": t.column("bucket"), "total": pa.array([total[a:b].tobytes() for a, b in zip((end - n).tolist(), end.tolist(), strict=True)], pa.binary())})
+
+
+def _inside(tok: Tokens, on: np.ndarray, words: np.ndarray, totals: np.ndarray, k: Counts) -> np.ndarray:
+    """Log-probability inside their buckets of the tokens on, by the counts of the other documents."""
+    h = tok.hashes[on]
+    uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    at = on[first]
+    # times in the token's own document
+    pair = tok.spans.doc[on] * len(uniq) + inverse
+    _, place, times = np.unique(pair, return_inverse=True, return_counts=True)
+    others = (totals[np.searchsorted(words, uniq)])[inverse] - times[place]
+    e = tok.endings(at)
+    new = np.log(np.maximum(k.kinds[e], 1)) + tok.spelled(at, k.letters)
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(others.astype(np.float64)), new[inverse]) - np.log(k.tokens[e] + np.maximum(k.kinds[e], 1))[inverse]
+
+
+def _score(held):
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if docs.num_rows:
+            k, w = held.value
+            told = told.sort_by("bucket")
+            totals = joined(told.column("total"), "<u8")[0].astype(np.int64)
+            lots = list(_lots(docs))
+            on = [_strangers(t, k.words) for _, t in lots]
+            words = np.unique(np.concatenate([np.unique(t.hashes[i]) for (_, t), i in zip(lots, on, strict=True)]))
+            for (ids, t), i in zip(lots, on, strict=True):
+                sym = t.symbols(k.words, k.ids)
+                ctx = contexts(sym, t.spans.doc)
+                p = np.concatenate([np.zeros(0)] + [log_probs(w, sym[a : a + 16384], ctx[:, a : a + 16384]) for a in range(0, len(sym), 16384)])
+                if len(i):
+                    p[i] += _inside(t, i, words, totals, k)
+                out.append((ids, t.spans.count, seg_sum(p, t.spans.at[:-1], t.spans.at[1:])))
+        ids = pa.chunked_array([x[0] for x in out], pa.int64())
+        n, total = (np.concatenate([np.zeros(0, dtype=d), *(x[i] for x in out)]) for i, d in ((1, np.int64), (2, np.float64)))
+        return pa.table({"doc_id": ids, "n_tokens": pa.array(n, pa.int64()), "pll": pa.array(total), "mean_pll": pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0))})
+
+    return run
+
+
+def score(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """doc_id, n_tokens, pll (sum of log-probabilities) and their mean, of every row of docs (doc_id, text)."""
-    words, ids = vocabulary(docs)
-    held = docs.sparkSession.sparkContext.broadcast((words, ids, train(docs, words, ids)))
-
-    def run(batches):
-        words, ids, w = held.value
-        for rb in blocks(batches):
-            t = Tokens(rb.column("text"))
-            sym = t.symbols(words, ids)
-            ctx = t.contexts(sym)
-            p = np.concatenate([np.zeros(0)] + [log_probs(w, sym[a : a + 16384], ctx[:, a : a + 16384]) for a in range(0, len(sym), 16384)])
-            total = seg_sum(p, t.spans.at[:-1], t.spans.at[1:])
-            n = t.spans.count
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(n), pa.array(total), pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0))], names=["doc_id", "n_tokens", "pll", "mean_pll"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, pll double, mean_pll double")
+    spark = docs.sparkSession
+    counts = Counts(docs)
+    held = spark.sparkContext.broadcast((counts, train(docs, counts.words, counts.ids, shard)))
+    dealt = _dealt(docs, GROUP)
+    asked = dealt.groupBy("q").applyInArrow(_ask(buckets(spark), held), "bucket int, q bigint, word binary, count binary")
+    told = asked.groupBy("bucket").applyInArrow(_tell, "q bigint, bucket int, total binary")
+    return dealt.groupBy("q").cogroup(told.groupBy("q")).applyInArrow(_score(held), "doc_id bigint, n_tokens bigint, pll double, mean_pll double")
