@@ -3,10 +3,10 @@
 Every token is predicted from the SIDE tokens on both sides.  The network knows symbols: the corpus's
 most frequent words, counted over all documents, and a bucket by word ending for each of the others.
 Position matrices of the window's symbols are summed and squashed, and a two-level softmax (class, then
-member) gives the symbol's probability.  A word that shares a bucket is then told apart inside it: its
-count in the other documents of the corpus, with the mass of unseen words spelled byte by byte.  Both
-factors together are the token's conditional probability, so the vocabulary is open, and what is
-counted grows with the corpus.
+member) gives the symbol's probability.  A word that shares a bucket is then told apart inside it, by
+counts of the other documents of the corpus: how often it stands between the same two neighbours, backed
+off to how often it occurs, backed off to a spelling byte by byte.  Both factors together are the token's
+conditional probability, so the vocabulary is open, and what is counted grows with the corpus.
 
 Training is data-parallel local descent: documents are dealt by a hash of their rows into shards of
 about SHARD bytes, every shard takes its steps from the same start, and the token-weighted mean of all
@@ -21,17 +21,19 @@ returns nothing.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCT, U64, Roll, Spans, blocks, buckets, joined, materialize, packed, raw_bytes, seg_sum, text_block, tidy
+from .common import PUNCT, U64, Roll, Spans, blocks, buckets, joined, materialize, mix, packed, raw_bytes, seg_sum, text_block, tidy
 
 CLASSES, MEMBERS, ENDINGS = 64, 64, 256
 VOCAB = CLASSES * MEMBERS
 WORDS = VOCAB - ENDINGS
-SIDE, DIM = 2, 24
+SIDE, DIM = 2, 16
 #: Round r takes the positions r, r + ROUNDS, ... of every document as targets, BATCH to a step.
 ROUNDS, RATE, BATCH = 2, 0.4, 4096
 #: Bytes of text of a shard in training and of a group in scoring; tokens worked on at a time.
@@ -50,6 +52,26 @@ class Tokens:
         self.roll = Roll(self.buf)
         self.hashes = self.roll.span(self.spans.s, self.spans.e)
 
+    @cached_property
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes in order, a token of each, and each token's place among them."""
+        return np.unique(self.hashes, return_index=True, return_inverse=True)
+
+    def known(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the distinct hashes: their places among words, and whether they are there."""
+        uniq = self.distinct[0]
+        if not len(words):
+            return np.zeros(len(uniq), dtype=np.int64), np.zeros(len(uniq), dtype=bool)
+        i = np.minimum(np.searchsorted(words, uniq), len(words) - 1)
+        return i, words[i] == uniq
+
+    def pairs(self, on: np.ndarray) -> np.ndarray:
+        """Keys of tokens in their places: 48 bits of a hash of both neighbours and the ending, 16 bits of the word."""
+        h, d = np.concatenate([self.hashes, np.zeros(2, dtype=np.uint64)]), np.concatenate([self.spans.doc, [-1, -1]])
+        left, right = np.where(d[on - 1] == d[on], h[on - 1], U64(0)), np.where(d[on + 1] == d[on], h[on + 1], U64(0))
+        near = mix(mix(left + U64(0x632BE59BD9B4E019)) * U64(0x9E3779B97F4A7C15) + right + self.endings(on).astype(np.uint64))
+        return (near & ~U64(0xFFFF)) | (mix(h[on]) & U64(0xFFFF))
+
     def endings(self, on: np.ndarray) -> np.ndarray:
         """Bucket of tokens by their last three bytes."""
         e = self.spans.e[on]
@@ -57,12 +79,10 @@ class Tokens:
 
     def symbols(self, words: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Symbols: of the known words (hashes in order, their ids), else by ending."""
-        uniq, first, inverse = np.unique(self.hashes, return_index=True, return_inverse=True)
-        out = WORDS + self.endings(first)
-        if len(words) and len(uniq):
-            i = np.minimum(np.searchsorted(words, uniq), len(words) - 1)
-            out = np.where(words[i] == uniq, ids[i], out)
-        return out[inverse]
+        i, on = self.known(words)
+        out = WORDS + self.endings(self.distinct[1])
+        out[on] = ids[i[on]]
+        return out[self.distinct[2]]
 
     def spelled(self, on: np.ndarray, letters: np.ndarray) -> np.ndarray:
         """Log-probability of tokens' bytes before their last three, and of the end."""
@@ -129,8 +149,10 @@ class _Tiles:
         out[self.place] = h[self.order]
         return out.reshape(-1, TILE, h.shape[1])
 
-    def logits(self, h: np.ndarray, w: dict) -> np.ndarray:
-        return (np.matmul(h, w["m"][self.of].transpose(0, 2, 1)) + w["mb"][self.of][:, None, :]).reshape(-1, MEMBERS)
+    def logits(self, h: np.ndarray, members: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        z = np.matmul(h, members.transpose(0, 2, 1))
+        z += bias[self.of][:, None, :]
+        return z.reshape(-1, MEMBERS)
 
 
 def log_probs(w: dict, sym: np.ndarray, ctx: np.ndarray) -> np.ndarray:
@@ -139,7 +161,7 @@ def log_probs(w: dict, sym: np.ndarray, ctx: np.ndarray) -> np.ndarray:
     z, _, s = _exp(h @ w["c"].T + w["cb"], (np.arange(len(sym)), cls))
     out = (z - np.log(s)).astype(np.float64)
     t = _Tiles(cls)
-    z, _, s = _exp(t.logits(t.put(h), w), (t.place, mem[t.order]))
+    z, _, s = _exp(t.logits(t.put(h), w["m"][t.of], w["mb"]), (t.place, mem[t.order]))
     out[t.order] += z - np.log(s[t.place])
     return out
 
@@ -155,28 +177,34 @@ def step(w: dict, sym: np.ndarray, ctx: np.ndarray, rate: float) -> None:
     p[np.arange(n), cls] -= 1
     dh = p @ w["c"]
     t = _Tiles(cls)
-    rows = t.put(h)
-    _, q, s = _exp(t.logits(rows, w), (t.place, mem[t.order]))
+    rows, members = t.put(h), w["m"][t.of]
+    _, q, s = _exp(t.logits(rows, members, w["mb"]), (t.place, mem[t.order]))
     scale = np.zeros(len(q), dtype=np.float32)  # 0 for padding
     scale[t.place] = 1 / s[t.place]
     q *= scale[:, None]
     q[t.place, mem[t.order]] -= 1
     q = q.reshape(-1, TILE, MEMBERS)
-    dh[t.order] += np.matmul(q, w["m"][t.of]).reshape(-1, DIM)[t.place]
-    some = np.flatnonzero(t.count)
-    k = t.count[some].astype(np.float32)
-    w["m"][some] -= rate32 * np.add.reduceat(np.matmul(q.transpose(0, 2, 1), rows), t.first[some], axis=0) / k[:, None, None]
-    w["mb"][some] -= rate32 * np.add.reduceat(q.sum(1), t.first[some], axis=0) / k[:, None]
-    w["c"] -= rate32 * (p.T @ h) / n * 8
-    w["cb"] -= rate32 * p.mean(0) * 8
+    dh[t.order] += np.matmul(q, members).reshape(-1, DIM)[t.place]
+    by = (rate32 / t.count[t.of].astype(np.float32))[:, None]
+    rows *= by[:, :, None]
+    gm, gb = np.matmul(q.transpose(0, 2, 1), rows), np.matmul(np.ones(TILE, dtype=np.float32), q) * by
+    one = np.flatnonzero(t.count)
+    w["m"][one] -= gm[t.first[one]]
+    w["mb"][one] -= gb[t.first[one]]
+    for i in np.flatnonzero(t.of[1:] == t.of[:-1]) + 1:  # further tiles of frequent classes
+        w["m"][t.of[i]] -= gm[i]
+        w["mb"][t.of[i]] -= gb[i]
+    w["c"] -= (p.T @ h) * (rate32 * 8 / n)
+    w["cb"] -= (np.ones(n, dtype=np.float32) @ p) * (rate32 * 8 / n)
     dh *= 1 - h * h
-    for j in range(len(ctx)):
-        order = np.argsort(ctx[j].astype(np.uint16), kind="stable")
-        s = ctx[j][order]
-        at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        g = np.add.reduceat(np.take(dh, order, axis=0), at, axis=0)
-        k = np.diff(np.r_[at, n])[:, None].astype(np.float32)
-        w["u"][j][s[at]] -= rate32 * g / np.sqrt(k)  # frequent symbols take damped sums
+    # all positions at once: 16 bits hold position and symbol
+    key = (ctx + (np.arange(len(ctx)) * (VOCAB + 1))[:, None]).astype(np.uint16).ravel()
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    g = np.add.reduceat(np.take(dh, order % n, axis=0), at, axis=0)
+    g *= rate32 / np.sqrt(np.diff(np.r_[at, len(k)]).astype(np.float32))[:, None]  # frequent symbols take damped sums
+    w["u"].reshape(-1, DIM)[k[at]] -= g
 
 
 def train_shard(w: dict, sym: np.ndarray, count: np.ndarray, r: int) -> int:
@@ -368,51 +396,67 @@ def _lots(t: pa.Table):
             yield b.column("doc_id"), Tokens(raw_bytes(b.column("text")))
 
 
-def _strangers(t: Tokens, words: np.ndarray) -> np.ndarray:
-    """Tokens outside the most frequent words."""
-    if not len(words):
-        return np.arange(len(t.hashes))
-    return np.flatnonzero(words[np.minimum(np.searchsorted(words, t.hashes), len(words) - 1)] != t.hashes)
-
-
 def _ask(n: int, held):
     def run(t: pa.Table) -> pa.Table:
         q, words = t.column("q")[0].as_py(), held.value[0].words
-        found = []
+        found: tuple[list, list] = ([], [])
         for _, tok in _lots(t):
-            h, c = np.unique(tok.hashes[_strangers(tok, words)], return_counts=True)
-            found.append((h, c.astype(np.int64), np.zeros(len(h), dtype=np.uint8)))
-        h, c, _ = _merged(found)
-        if not len(h):
-            return pa.table({"bucket": pa.nulls(0, pa.int32()), "q": pa.nulls(0, pa.int64()), "word": pa.nulls(0, pa.binary()), "count": pa.nulls(0, pa.binary())})
-        p = packed(h, n, word=h, count=c.astype("<u4"))
-        return pa.table({"bucket": p.column(0), "q": pa.array([q] * p.num_rows, pa.int64()), "word": p.column(1), "count": p.column(2)})
+            out = ~tok.known(words)[1]
+            none = np.zeros(out.sum(), dtype=np.uint8)
+            found[0].append((tok.distinct[0][out], np.bincount(tok.distinct[2], minlength=len(out))[out], none))
+            key, times = np.unique(tok.pairs(np.flatnonzero(out[tok.distinct[2]])), return_counts=True)
+            found[1].append((key, times, np.zeros(len(key), dtype=np.uint8)))
+        rows = []
+        for kind in (0, 1):
+            key, times, _ = _merged(found[kind])
+            if len(key):
+                p = packed(key, n, key=key, times=times.astype("<u4"))
+                rows.append(pa.table([pa.array([kind] * p.num_rows, pa.int32()), p.column(0), pa.array([q] * p.num_rows, pa.int64()), p.column(1), p.column(2)], names=["kind", "bucket", "q", "key", "times"]))
+        return pa.concat_tables(rows) if rows else pa.table([pa.nulls(0, k) for k in (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())], names=["kind", "bucket", "q", "key", "times"])
 
     return run
 
 
 def _tell(t: pa.Table) -> pa.Table:
-    """A bucket's words: to each group that asked, their counts in the corpus, in the order of its question."""
-    h, n = joined(t.column("word"), np.uint64)
+    """A bucket's keys: to each group that asked, in the order of its question, their counts in the corpus; of pairs, those of their neighbours before."""
+    h, n = joined(t.column("key"), np.uint64)
+    times = joined(t.column("times"), "<u4")[0]
     uniq, inverse = np.unique(h, return_inverse=True)
-    total = np.bincount(inverse, joined(t.column("count"), "<u4")[0], minlength=len(uniq)).astype("<u8")[inverse]
+    total = np.bincount(inverse, times, minlength=len(uniq))
+    if t.column("kind")[0].as_py():
+        near = uniq >> U64(16)
+        new = np.r_[True, near[1:] != near[:-1]]
+        place = np.cumsum(new) - 1
+        total = np.stack([np.bincount(place, total)[place], total], 1)
+    total = total.astype("<f4")[inverse]
     end = np.cumsum(n)
-    return pa.table({"q": t.column("q"), "bucket": t.column("bucket"), "total": pa.array([total[a:b].tobytes() for a, b in zip((end - n).tolist(), end.tolist(), strict=True)], pa.binary())})
-
-
-def _inside(tok: Tokens, on: np.ndarray, words: np.ndarray, totals: np.ndarray, k: Counts) -> np.ndarray:
-    """Log-probability inside their buckets of the tokens on, by the counts of the other documents."""
-    h = tok.hashes[on]
-    uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    at = on[first]
-    # times in the token's own document
-    pair = tok.spans.doc[on] * len(uniq) + inverse
-    _, place, times = np.unique(pair, return_inverse=True, return_counts=True)
-    others = (totals[np.searchsorted(words, uniq)])[inverse] - times[place]
+    return pa.table({"q": t.column("q"), "kind": t.column("kind"), "bucket": t.column("bucket"), "total": pa.array([total[a:b].tobytes() for a, b in zip((end - n).tolist(), end.tolist(), strict=True)], pa.binary())})
+
+
+def _own(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """How often each item's key occurs in its own document."""
+    _, place, times = np.unique(mix(key + doc.astype(np.uint64) * U64(0xD6E8FEB86659FD93)), return_inverse=True, return_counts=True)
+    return times[place]
+
+
+def _inside(tok: Tokens, words: np.ndarray, totals: np.ndarray, pairs: np.ndarray, near: np.ndarray, k: Counts) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens outside the most frequent words, and their log-probabilities inside their buckets by the counts of the other documents.
+
+    words, totals: all such words of the group in order, with their counts; pairs, near: likewise of the keys of pairs().
+    """
+    out = ~tok.known(k.words)[1]
+    uniq, at = tok.distinct[0][out], tok.distinct[1][out]
+    on = np.flatnonzero(out[tok.distinct[2]])
+    which, doc = (np.cumsum(out) - 1)[tok.distinct[2][on]], tok.spans.doc[on]
     e = tok.endings(at)
-    new = np.log(np.maximum(k.kinds[e], 1)) + tok.spelled(at, k.letters)
-    with np.errstate(divide="ignore"):
-        return np.logaddexp(np.log(others.astype(np.float64)), new[inverse]) - np.log(k.tokens[e] + np.maximum(k.kinds[e], 1))[inverse]
+    kinds = np.maximum(k.kinds[e], 1)
+    new = np.log(kinds) + tok.spelled(at, k.letters)
+    others = totals[np.searchsorted(words, uniq)][which] - _own(doc, tok.hashes[on])
+    p = np.where(others > 0, np.log(np.maximum(others, 1) + np.exp(new)[which]), new[which]) - np.log(k.tokens[e] + kinds)[which]
+    key = tok.pairs(on)
+    there, here = near[np.searchsorted(pairs, key)].T.astype(np.float64)
+    here, there = here - _own(doc, key), there - _own(doc, key >> U64(16))
+    return on, np.where(here > 0, np.log(np.maximum(here, 1) + np.exp(p)), p) - np.log1p(np.maximum(there, 0))
 
 
 def _score(held):
@@ -420,17 +464,20 @@ def _score(held):
         out: list[tuple] = []
         if docs.num_rows:
             k, w = held.value
-            told = told.sort_by("bucket")
-            totals = joined(told.column("total"), "<u8")[0].astype(np.int64)
+            told = told.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+            cut = told.column("kind").to_pylist().count(0)
+            totals = joined(told.column("total").slice(0, cut), "<f4")[0].astype(np.int64)
+            near = joined(told.column("total").slice(cut), "<f4")[0].reshape(-1, 2)
             lots = list(_lots(docs))
-            on = [_strangers(t, k.words) for _, t in lots]
-            words = np.unique(np.concatenate([np.unique(t.hashes[i]) for (_, t), i in zip(lots, on, strict=True)]))
-            for (ids, t), i in zip(lots, on, strict=True):
+            far = [~t.known(k.words)[1] for _, t in lots]
+            words = np.unique(np.concatenate([t.distinct[0][x] for (_, t), x in zip(lots, far, strict=True)]))
+            pairs = np.unique(np.concatenate([t.pairs(np.flatnonzero(x[t.distinct[2]])) for (_, t), x in zip(lots, far, strict=True)]))
+            for ids, t in lots:
                 sym = t.symbols(k.words, k.ids)
                 ctx = contexts(sym, t.spans.doc)
-                p = np.concatenate([np.zeros(0)] + [log_probs(w, sym[a : a + 16384], ctx[:, a : a + 16384]) for a in range(0, len(sym), 16384)])
-                if len(i):
-                    p[i] += _inside(t, i, words, totals, k)
+                p = np.concatenate([np.zeros(0)] + [log_probs(w, sym[a : a + 2 * BATCH], ctx[:, a : a + 2 * BATCH]) for a in range(0, len(sym), 2 * BATCH)])
+                on, inside = _inside(t, words, totals, pairs, near, k)
+                p[on] += inside
                 out.append((ids, t.spans.count, seg_sum(p, t.spans.at[:-1], t.spans.at[1:])))
         ids = pa.chunked_array([x[0] for x in out], pa.int64())
         n, total = (np.concatenate([np.zeros(0, dtype=d), *(x[i] for x in out)]) for i, d in ((1, np.int64), (2, np.float64)))
@@ -445,6 +492,6 @@ def score(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     counts = Counts(docs)
     held = spark.sparkContext.broadcast((counts, train(docs, counts.words, counts.ids, shard)))
     dealt = _dealt(docs, GROUP)
-    asked = dealt.groupBy("q").applyInArrow(_ask(buckets(spark), held), "bucket int, q bigint, word binary, count binary")
-    told = asked.groupBy("bucket").applyInArrow(_tell, "q bigint, bucket int, total binary")
+    asked = dealt.groupBy("q").applyInArrow(_ask(buckets(spark), held), "kind int, bucket int, q bigint, key binary, times binary")
+    told = asked.groupBy("kind", "bucket").applyInArrow(_tell, "q bigint, kind int, bucket int, total binary")
     return dealt.groupBy("q").cogroup(told.groupBy("q")).applyInArrow(_score(held), "doc_id bigint, n_tokens bigint, pll double, mean_pll double")

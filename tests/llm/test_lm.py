@@ -33,6 +33,13 @@ def plain_scores(rows, counts, w):
     letter = {b: math.log((letters[b] + 0.5) / n) for b in range(256)}
     stop = math.log((sum(total.values()) + 0.5) / n)
 
+    def places(d):
+        near = [None, *d, None]
+        return [((vocab[x][1], near[i], near[i + 2]), x) for i, x in enumerate(d) if vocab[x][0] is None]
+
+    pairs = Counter(p for d in docs for p in places(d))
+    around = Counter(c for d in docs for c, _ in places(d))
+
     def soft(z, i):
         z = np.asarray(z, dtype=np.float64)
         return z[i] - np.log(np.exp(z - z.max()).sum()) - z.max()
@@ -49,7 +56,10 @@ def plain_scores(rows, counts, w):
             if vocab[x][0] is None:
                 e = vocab[x][1]
                 spelled = kinds[e] * math.exp(sum(letter[b] for b in x[:-3]) + stop)
-                s += math.log((total[x] - mine[x] + spelled) / (tokens[e] + kinds[e]))
+                p = (total[x] - mine[x] + spelled) / (tokens[e] + kinds[e])
+                c = (e, d[i - 1] if i else None, d[i + 1] if i + 1 < len(d) else None)
+                own = places(d)
+                s += math.log((pairs[c, x] - own.count((c, x)) + p) / (around[c] - [y for y, _ in own].count(c) + 1))
         out.append(s)
     return out
 
@@ -77,23 +87,24 @@ def test_layout_does_not_matter(spark):
     assert runs[0] == runs[1]
 
 
-def test_tree_of_means(spark, monkeypatch):
-    """Many shards through several levels give the plain weighted mean."""
-    monkeypatch.setattr(lm, "ROUNDS", 1)
+def test_tree_of_means(spark):
+    """Many shards through several levels give the plain weighted mean, round by round."""
     rows = [(i, " ".join("abcdefgh"[(i + j) % 8] for j in range(20 + i % 5))) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     c = lm.Counts(df)
-    got = lm.train(df, c.words, c.ids, shard=100)
-    total, n = {k: 0.0 for k in got}, 0
+    got, w = lm.train(df, c.words, c.ids, shard=100), lm.start()
     dealt = lm._dealt(df, 100).orderBy("q", "h").collect()
-    for q in sorted({r["q"] for r in dealt}):
-        toks = [lm.Tokens([r["text"].encode()]) for r in dealt if r["q"] == q]
-        w = lm.start()
-        k = lm.train_shard(w, np.concatenate([t.symbols(c.words, c.ids) for t in toks]), np.array([len(t.hashes) for t in toks]), 0)
-        n += k
-        total = {x: total[x] + w[x].astype(np.float64) * k for x in w}
     assert dealt and max(r["q"] for r in dealt) > lm.FAN
-    assert all(np.allclose(got[x], total[x] / n, atol=1e-5) for x in got)
+    for r in range(lm.ROUNDS):
+        total, n = {k: 0.0 for k in w}, 0
+        for q in sorted({x["q"] for x in dealt}):
+            toks = [lm.Tokens([x["text"].encode()]) for x in dealt if x["q"] == q]
+            mine = {k: x.copy() for k, x in w.items()}
+            k = lm.train_shard(mine, np.concatenate([t.symbols(c.words, c.ids) for t in toks]), np.array([len(t.hashes) for t in toks]), r)
+            n += k
+            total = {x: total[x] + mine[x].astype(np.float64) * k for x in w}
+        w = {x: (total[x] / n).astype(np.float32) for x in w}
+    assert all(np.allclose(got[x], w[x], atol=1e-5) for x in got)
 
 
 def test_held_out_beats_unigram(spark):
