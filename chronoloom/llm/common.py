@@ -29,25 +29,56 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or, in local mode only, one of our own where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = got.get() if got.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="chronoloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chronoloom/{name}-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", 16 << 20).parquet(path)  # small row groups: little memory to write and to read
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    p, fs = _path(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of materialize() that nothing reads any more."""
+    p, fs = _path(df.sparkSession, df._written)
+    fs.delete(p, True)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names for columns of our own that differ from all columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def refit(col: pa.Array, kind: pa.DataType) -> pa.Array:
+    """Numbers of characters in the type that the column came in."""
+    return col.cast(kind) if pa.types.is_integer(kind) or pa.types.is_floating(kind) else col.cast(pa.string()).cast(kind)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
@@ -15,7 +15,9 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     they move, hot nodes meet only in joins, which the engine can split, and each round's table goes to
     the shared folder.  Ends when every node hangs directly below its root.
     """
+    sign = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     e = materialize(edges.distinct(), name)
+    was = sign(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -25,10 +27,10 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x")).select("x.u", F.col("x.m").alias("v")).where("u > v").distinct()
         after = materialize(small, name)
-        sign = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        done = sign(after) == sign(e)
-        e = after
-        if done:
+        discard(e)
+        e, now = after, sign(after)
+        if now == was:
             break
+        was = now
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

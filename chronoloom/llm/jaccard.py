@@ -1,20 +1,20 @@
 """Near-duplicate join by Jaccard similarity of word shingles, with Bayesian candidate pruning.
 
 Words are runs outside space and tab to carriage return; a text's set holds its runs of five words, or
-all its words as one where they are fewer.  Texts of equal sets form one class and only its first
-document (smallest doc_id) goes on.  MinHash bands name candidates: documents sharing a band key are
-connected, map tasks sending one row for each key they hold.  Within a connected candidate group the
-MinHash values of all pairs are compared a few at a time; a pair is dropped once the posterior
-probability (uniform prior) that its similarity reaches the threshold falls below TOLERANCE, and the
-rest are verified by exact set intersection.  Large candidate groups are dealt into blocks, each pair
-of blocks a task of its own; no pair of documents leaves a task, only link counts and a spanning
-forest of the links.
-
-Result, a row for each row of docs: class_id, the smallest doc_id of those linked with it directly or
-in a chain (itself if none), text_class, the smallest doc_id with the same set, and n_links, how many
-other rows have similarity THRESHOLD or more.  Texts without words, null ones too, link to nothing, and
-so do rows without doc_id.  Rows that repeat a doc_id count as documents of their own in n_links, but
-as one node in class_id.
+all its words as one where they are fewer.  Rows of equal sets form one text class, which goes on as one.
+Classes that share a MinHash band key meet in that key's set, and equal sets of several bands meet once.
+There the MinHash values of pairs are compared a few at a time; a pair is dropped once the posterior
+probability (uniform prior) that its similarity reaches the threshold falls below TOLERANCE.  Only what
+survives connects classes to groups: of each set a spanning forest of the surviving pairs leaves its
+task.  Inside a group the pairs are pruned in the same way and the rest verified by exact set
+intersection.  Large sets and groups are dealt into blocks, each pair of blocks a task of its own; no
+pair of classes leaves a task, only link counts and spanning forests.
+
+Result, a row for each row of docs: class_id, the smallest doc_id of the rows linked with it directly or
+in a chain (its own if none), text_class, the smallest doc_id with the same set, and n_links, how many
+other rows have similarity THRESHOLD or more.  doc_id is returned as bigint.  Texts without words, null
+ones too, link to nothing, and so do rows without doc_id.  Rows that repeat a doc_id are documents of
+their own, whose texts alone link them.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, WHITE, Roll, Spans, blocks, buckets, joined, materialize, mix, packed, raw_bytes, text_block
+from .common import U64, WHITE, Roll, Spans, blocks, buckets, fresh, joined, materialize, mix, packed, ragged, raw_bytes, text_block
 from .components import components
 
 WORDS = 5
@@ -35,12 +35,12 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Values compared between two looks at the posterior, and the probability below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-7
-#: Documents of a block.
-BLOCK = 128
+#: Classes and bytes of shingles of a block; pairs compared at a time; sets up to ALL classes are compared pair by pair.
+BLOCK, BLOCK_BYTES, LOT, ALL = 512, 8 << 20, 1 << 16, 24
 _rng = np.random.default_rng(1729)
 _MUL = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
 _ADD = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
-FEATURES = "doc_id bigint, key1 bigint, key2 bigint, n int, bands binary"
+FEATURES = "doc_id bigint, th bigint, key1 bigint, key2 bigint, n int, bands binary, sketch binary"
 
 
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,62 +75,56 @@ def signatures(key: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_keys(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums of mixed shingles for each text: with their number, they stand for the set."""
+    end, out = np.cumsum(n), []
+    for salt in (0x2545F4914F6CDD1D, 0x9E6C63D0676A9A99):
+        c = np.r_[U64(0), np.cumsum(mix(key * U64(salt)), dtype=np.uint64)]
+        out.append((c[end] - c[end - n]).view(np.int64))
+    return out[0], out[1]
+
+
+def sketches(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The low eight bits of the MinHash values: equal where those are, else rarely."""
+    return signatures(key, n).astype(np.uint8)
+
+
 def _features(batches):
     for rb in blocks(batches):
         key, n = shingles(raw_bytes(rb.column("text")))
-        end = np.cumsum(n)
-        s = signatures(key, n).astype(np.uint64)
-        band = np.zeros((len(n), BANDS), dtype=np.uint64)
+        sig = signatures(key, n)
+        s, band = sig.astype(np.uint64), np.zeros((len(n), BANDS), dtype=np.uint64)
         for i in range(ROWS):
             band = mix(band * U64(0x9E3779B97F4A7C15) + s[:, i::ROWS] + np.arange(BANDS, dtype=np.uint64) * U64(0x632BE59BD9B4E019))
-        sums = []
-        for salt in (0x2545F4914F6CDD1D, 0x9E6C63D0676A9A99):
-            c = np.r_[U64(0), np.cumsum(mix(key * U64(salt)), dtype=np.uint64)]
-            sums.append((c[end] - c[end - n]).view(np.int64))
-        yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(sums[0]), pa.array(sums[1]), pa.array(n.astype(np.int32)), pa.array([r.tobytes() for r in band], pa.binary())], names=[c.split()[0] for c in FEATURES.split(", ")])
-
-
-def _unique_edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    on = a != b
-    e = np.unique(np.stack([np.maximum(a, b)[on], np.minimum(a, b)[on]], 1), axis=0) if on.any() else np.zeros((0, 2), dtype=np.int64)
-    return pa.RecordBatch.from_pydict({"u": pa.array(e[:, 0]), "v": pa.array(e[:, 1])})
+        sums, low = set_keys(key, n), sig.astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("th"), pa.array(sums[0]), pa.array(sums[1]), pa.array(n.astype(np.int32)), pa.array([r.tobytes() for r in band], pa.binary()), pa.array([r.tobytes() for r in low], pa.binary())], names=[c.split()[0] for c in FEATURES.split(", ")])
 
 
-def _stars(n: int):
-    """Of a task's documents: edges to the first one with the same band key, and the keys with that one, packed."""
-
-    def flush(ids: list, bands: list):
-        doc, key = np.repeat(np.concatenate(ids), BANDS), np.frombuffer(b"".join(bands), dtype=np.uint64)
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        new = np.r_[True, key[1:] != key[:-1]]
-        low = doc[new][np.cumsum(new) - 1]
-        e = _unique_edges(doc, low)
-        yield pa.RecordBatch.from_arrays([pa.nulls(e.num_rows, pa.int32()), pa.nulls(e.num_rows, pa.binary()), pa.nulls(e.num_rows, pa.binary()), *e.columns], names=["bucket", "key", "doc", "u", "v"])
-        p = packed(key[new], n, key=key[new], doc=doc[new])
-        yield pa.RecordBatch.from_arrays([*p.columns, pa.nulls(p.num_rows, pa.int64()), pa.nulls(p.num_rows, pa.int64())], names=["bucket", "key", "doc", "u", "v"])
+def _keys(n: int):
+    """Band keys of classes, packed by bucket."""
 
     def run(batches):
-        ids, bands, held = [], [], 0
         for rb in batches:
-            ids.append(rb.column("doc_id").to_numpy())
-            bands += rb.column("bands").to_pylist()
-            held += rb.num_rows
-            if held >= 50_000:
-                yield from flush(ids, bands)
-                ids, bands, held = [], [], 0
-        if held:
-            yield from flush(ids, bands)
+            raw = rb.column("bands").to_pylist()
+            key = np.frombuffer(b"".join(raw), dtype=np.uint64)
+            p = packed(key, n, key=key, id=np.repeat(rb.column("id").to_numpy(), BANDS))
+            if p is not None:
+                yield p
 
     return run
 
 
 def _meet(t: pa.Table) -> pa.Table:
-    key, doc = joined(t.column("key"), np.uint64)[0], joined(t.column("doc"), np.int64)[0]
+    """Of a bucket's keys: the members of each set of two classes or more, equal sets once; print stands for the set."""
+    key, doc = joined(t.column("key"), np.uint64)[0], joined(t.column("id"), np.int64)[0]
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
-    new = np.r_[True, key[1:] != key[:-1]]
-    return pa.Table.from_batches([_unique_edges(doc, doc[new][np.cumsum(new) - 1])])
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[new, len(key)])
+    sums = np.add.reduceat(mix(doc.view(np.uint64) * U64(0x9E3779B97F4A7C15) + U64(1)), new)
+    on = np.flatnonzero(size > 1)
+    on = on[np.unique(sums[on], return_index=True)[1]]
+    return pa.table({"print": pa.array(np.repeat(sums[on].view(np.int64), size[on])), "size": pa.array(np.repeat(size[on], size[on]).astype(np.int32)), "id": pa.array(doc[ragged(new[on], size[on])])})
 
 
 def least_matches(threshold: float = THRESHOLD[0] / THRESHOLD[1], tolerance: float = TOLERANCE) -> dict[int, int]:
@@ -151,16 +145,72 @@ def least_matches(threshold: float = THRESHOLD[0] / THRESHOLD[1], tolerance: flo
     return out
 
 
+LEAST = least_matches()
+
+
 def _pairs(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the pairs a[i], b[i]: those that survive the incremental comparison."""
-    match = np.zeros(len(a), dtype=np.int32)
-    for n, least in least_matches().items():
-        if not len(a):
-            break
-        match += (sig[a, n - STEP : n] == sig[b, n - STEP : n]).sum(1, dtype=np.int32)
-        on = match >= least
-        a, b, match = a[on], b[on], match[on]
-    return a, b
+    out: tuple[list, list] = ([], [])
+    for i in range(0, len(a), LOT):
+        x, y = a[i : i + LOT], b[i : i + LOT]
+        match = np.zeros(len(x), dtype=np.int32)
+        for n, least in LEAST.items():
+            if not len(x):
+                break
+            match += (sig[x, n - STEP : n] == sig[y, n - STEP : n]).sum(1, dtype=np.int32)
+            on = match >= least
+            x, y, match = x[on], y[on], match[on]
+        out[0].append(x)
+        out[1].append(y)
+    return (np.concatenate(out[0]), np.concatenate(out[1])) if out[0] else (a, b)
+
+
+def _reached(sig: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the surviving pairs of a large set; of two sides, only pairs across."""
+    two, left, edges = bool(side.any()), np.arange(len(sig)), ([], [])
+    while len(left):
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            x = front.pop()
+            with_ = left[side[left] != side[x]] if two else left
+            _, hit = _pairs(sig, np.full(len(with_), x), with_)
+            if len(hit):
+                edges[0].append(np.full(len(hit), x))
+                edges[1].append(hit)
+                left = left[~np.isin(left, hit)]
+                front += hit.tolist()
+    z = np.zeros(0, dtype=np.int64)
+    return np.concatenate([z, *edges[0]]), np.concatenate([z, *edges[1]])
+
+
+def _sorted(t: pa.Table, by: list[str]) -> tuple[pa.Table, np.ndarray]:
+    """The table ordered by columns, and where each run of the first ones begins, with the end."""
+    t = t.sort_by([(c, "ascending") for c in by]).combine_chunks()
+    new = np.zeros(t.num_rows, dtype=bool)
+    new[:1] = True
+    for c in by[:-1]:
+        x = t.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return t, np.r_[np.flatnonzero(new), t.num_rows]
+
+
+def _connect(t: pa.Table) -> pa.Table:
+    """One task's sets: forests of the pairs that survive pruning."""
+    t, cut = _sorted(t, ["print", "size", "id"])
+    ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
+    sig = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
+    size = np.diff(cut)
+    small = size <= ALL
+    # all pairs of the small sets at once
+    first = ragged(cut[:-1][small], size[small])
+    later = np.repeat(cut[1:][small], size[small]) - first - 1
+    edges = [_pairs(sig, np.repeat(first, later), ragged(first + 1, later))]
+    for lo, hi in zip(cut[:-1][~small].tolist(), cut[1:][~small].tolist(), strict=True):
+        a, b = _reached(sig[lo:hi], side[lo:hi])
+        edges.append((a + lo, b + lo))
+    a, b = (ids[np.concatenate([e[i] for e in edges])] for i in (0, 1))
+    e = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
+    return pa.table({"u": pa.array(e[:, 0]), "v": pa.array(e[:, 1])})
 
 
 def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -220,19 +270,18 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
 
 
 def _verify(t: pa.Table) -> pa.Table:
-    """One task's groups: link counts weighted by class size, and each document's first one in its tree."""
-    t = t.sort_by([("root", "ascending"), ("doc_id", "ascending")])
-    doc, group, side = t.column("doc_id").to_numpy(), t.column("root").to_numpy(), t.column("side").to_numpy()
-    size = t.column("docs").to_numpy()
+    """One task's groups: link counts weighted by class size, and each class's first one in its tree."""
+    t, cut = _sorted(t, ["root", "id"])
+    ids, side, size = t.column("id").to_numpy(), t.column("side").to_numpy(), t.column("docs").to_numpy()
+    one = np.r_[True, ids[1:] != ids[:-1]]  # a class whose row is repeated comes several times
+    if not one.all():
+        t = t.filter(pa.array(one))
+        ids, side, size, cut = ids[one], side[one], size[one], np.r_[0, np.cumsum(one)][cut]
     raw = t.column("shingles").to_pylist()
-    seen = list(dict.fromkeys(zip(doc.tolist(), group.tolist(), side.tolist(), raw, size.tolist(), strict=True)))  # repeated rows once
-    if len(seen) < len(doc):
-        doc, group, side, raw, size = (np.array(x) if i != 3 else list(x) for i, x in enumerate(zip(*seen, strict=True)))
-    count, low = np.zeros(len(doc), dtype=np.int64), doc.copy()
-    cut = np.r_[0, np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)]
+    count, low = np.zeros(len(ids), dtype=np.int64), ids.copy()
     for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         sets = [np.frombuffer(r, dtype=np.uint64) for r in raw[lo:hi]]
-        sig = signatures(np.concatenate(sets), np.array([len(s) for s in sets]))
+        sig = sketches(np.concatenate(sets), np.array([len(s) for s in sets]))
         two = side[lo:hi]
         if two.any():  # two blocks: only pairs across
             a, b = (x.ravel() for x in np.meshgrid(np.flatnonzero(two == 0), np.flatnonzero(two == 1), indexing="ij"))
@@ -240,56 +289,90 @@ def _verify(t: pa.Table) -> pa.Table:
             a, b = np.triu_indices(hi - lo, 1)
         a, b = links(sets, sig, a, b)
         count[lo:hi] = np.bincount(a, size[lo:hi][b], minlength=hi - lo) + np.bincount(b, size[lo:hi][a], minlength=hi - lo)
-        low[lo:hi] = doc[lo:hi][_forest(hi - lo, a, b)]
+        low[lo:hi] = ids[lo:hi][_forest(hi - lo, a, b)]
     on = count > 0
-    return pa.table({"doc_id": pa.array(doc[on]), "links": pa.array(count[on]), "low": pa.array(low[on])})
+    return pa.table({"id": pa.array(ids[on]), "links": pa.array(count[on]), "low": pa.array(low[on])})
 
 
 def _sets(batches):
-    """Each document's shingles, of its text."""
+    """Shingles of the classes' first rows; a row of another text under the same doc_id goes."""
     for rb in blocks(batches):
         key, n = shingles(raw_bytes(rb.column("text")))
+        k1, k2 = set_keys(key, n)
         end = np.cumsum(n)
-        cols = [rb.column(c) for c in ("doc_id", "root", "blocks", "docs")]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array([key[a:b].tobytes() for a, b in zip((end - n).tolist(), end.tolist(), strict=True)], pa.binary())], names=["doc_id", "root", "blocks", "docs", "shingles"])
+        on = (k1 == rb.column("key1").to_numpy()) & (k2 == rb.column("key2").to_numpy()) & (n == rb.column("n").to_numpy())
+        rows = pa.array([key[a:b].tobytes() for a, b in zip((end - n)[on].tolist(), end[on].tolist(), strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(rb.column(c).filter(pa.array(on)) for c in ("id", "root", "blocks", "docs")), rows], names=["id", "root", "blocks", "docs", "shingles"])
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, text_class, n_links of every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    feats = materialize(docs.mapInArrow(_features, FEATURES), "jaccard-features")
-    live = feats.where("n > 0 and doc_id is not null")
-    classes = materialize(live.groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("text_class"), F.count("*").alias("docs")), "jaccard-classes")
-    reps = live.join(classes, ["key1", "key2", "n"]).where("doc_id = text_class")
-    found = materialize(reps.select("doc_id", "bands").mapInArrow(_stars(buckets(spark)), "bucket int, key binary, doc binary, u bigint, v bigint"), "jaccard-stars")
-    near = found.where("bucket is null").select("u", "v").unionByName(found.where("bucket is not null").groupBy("bucket").applyInArrow(_meet, "u bigint, v bigint"))
-    groups = materialize(components(near, "jaccard-candidates").withColumnRenamed("node", "doc_id"), "jaccard-groups")
-    sizes = groups.groupBy("root").agg(F.count("*").alias("members"))
-    total = groups.count()
-    small = max(1, total // BLOCK)
-    members = groups.join(sizes, "root").select("doc_id", "root", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    chosen = reps.select("doc_id", "docs").distinct().join(members, "doc_id")
-    sets = docs.join(chosen, "doc_id").mapInArrow(_sets, "doc_id bigint, root bigint, blocks int, docs bigint, shingles binary")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    other = F.explode(F.expr("sequence(0, blocks - 1)"))
-    dealt = (
-        sets.withColumn("own", own).withColumn("other", other)
+def _dealt(rows: DataFrame, by: str, tasks: int) -> DataFrame:
+    """Rows of sets with task and side: a set of one block shares one of so many tasks, others have a task for each pair of blocks."""
+    key, one = F.xxhash64(by), F.col("blocks") == 1
+    own, other = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.expr("sequence(0, blocks - 1)"))
+    return (
+        rows.withColumn("own", own).withColumn("other", other)
         .withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other"))
         .withColumn("side", F.when(F.col("first") == F.col("second"), 0).when(F.col("own") == F.col("first"), 0).otherwise(1))
-        .withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(small))).otherwise(F.xxhash64("root", "first", "second")))
-        .withColumn("alone", F.col("blocks") == 1)
+        .withColumn("task", F.when(one, F.pmod(key, F.lit(tasks))).otherwise(F.xxhash64(by, "first", "second")))
+        .withColumn("alone", one)
     )
-    linked = materialize(dealt.select("doc_id", "root", "docs", "shingles", "side", "task", "alone").groupBy("alone", "task").applyInArrow(_verify, "doc_id bigint, links bigint, low bigint"), "jaccard-links")
-    tree = components(linked.where("low < doc_id").select(F.col("doc_id").alias("u"), F.col("low").alias("v")), "jaccard-classes").withColumnRenamed("node", "text_class")
-    counts = linked.groupBy(F.col("doc_id").alias("text_class")).agg(F.sum("links").alias("links"))
-    rep = classes.join(counts, "text_class", "left").join(tree, "text_class", "left")
-    with_words = live.join(rep, ["key1", "key2", "n"]).select("doc_id", F.coalesce("root", "text_class").alias("class_id"), "text_class", (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+
+
+def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Features of every row of docs; the classes of rows with words and doc_id; and, of classes with links, id, links and tree (another class's id, the same for all of a group)."""
+    spark, rows = docs.sparkSession, _rows(docs)
+    feats = materialize(rows.mapInArrow(_features, FEATURES), "jaccard-features")
+    live = feats.where("n > 0 and doc_id is not null")
+    found = live.groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("text_class"), F.count("*").alias("docs"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = materialize(found.withColumn("id", F.monotonically_increasing_id()), "jaccard-classes")  # ids hold once written
+    keys = classes.select("id", "bands").mapInArrow(_keys(buckets(spark)), "bucket int, key binary, id binary")
+    near = materialize(keys.groupBy("bucket").applyInArrow(_meet, "print bigint, size int, id bigint").distinct(), "jaccard-sets")
+    tasks = max(1, near.count() // BLOCK)
+    meet = _dealt(near.join(classes.select("id", "sketch"), "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "print", tasks)
+    forest = meet.select("print", "size", "id", "sketch", "side", "task", "alone").groupBy("alone", "task").applyInArrow(_connect, "u bigint, v bigint")
+    groups = components(forest, "jaccard-candidates").withColumnRenamed("node", "id").join(classes.drop("bands", "sketch"), "id")
+    groups = materialize(groups, "jaccard-groups")
+    size = F.col("n").cast("bigint") * 8
+    total = groups.agg(F.count("*").alias("rows"), F.sum(size).alias("bytes")).first()
+    tasks = max(1, total["rows"] // BLOCK, (total["bytes"] or 0) // BLOCK_BYTES)
+    sizes = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    members = groups.join(sizes, "root").withColumnRenamed("text_class", "doc_id")
+    sets = rows.select("doc_id", "text").join(members, "doc_id").mapInArrow(_sets, "id bigint, root bigint, blocks int, docs bigint, shingles binary")
+    dealt = _dealt(sets, "root", tasks).select("id", "root", "docs", "shingles", "side", "task", "alone")
+    linked = materialize(dealt.groupBy("alone", "task").applyInArrow(_verify, "id bigint, links bigint, low bigint"), "jaccard-links")
+    tree = components(linked.where("low < id").select(F.col("id").alias("u"), F.col("low").alias("v")), "jaccard-trees").select(F.col("node").alias("id"), F.col("root").alias("tree"))
+    return feats, classes.drop("bands", "sketch"), linked.groupBy("id").agg(F.sum("links").alias("links")).join(tree, "id")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, text_class, n_links of every row of docs (doc_id, text)."""
+    feats, classes, linked = text_classes(docs)
+    heads = linked.join(classes, "id").groupBy("tree").agg(F.min("text_class").alias("head"))
+    about = classes.join(linked.join(heads, "tree"), "id", "left")
+    live = feats.where("n > 0 and doc_id is not null")
+    with_words = live.join(about, ["key1", "key2", "n"]).select("doc_id", F.coalesce("head", "text_class").alias("class_id"), "text_class", (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     without = feats.where("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("text_class"), F.lit(0).cast("bigint").alias("n_links"))
     return with_words.unionByName(without)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: the one whose doc_id is its class_id (all rows without words)."""
-    lost = join(docs).where("class_id < doc_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti")
+    """docs with one row of each group of linked rows: that of the smallest doc_id, of several the least hash of text, of equal ones any.
+
+    Rows without words and rows without doc_id stay.  All columns stay, whatever their names.
+    """
+    feats, classes, linked = text_classes(docs)
+    group = F.coalesce("tree", "id").alias("group")
+    some = classes.join(linked, "id", "left").where("docs > 1 or tree is not null").select("key1", "key2", "n", group)
+    rows = feats.where("n > 0 and doc_id is not null").join(some, ["key1", "key2", "n"]).groupBy("group", "doc_id", "th").count()
+    best = rows.groupBy("group").agg(F.min(F.struct("doc_id", "th")).alias("best"))
+    # what goes; and what stays once
+    marks = rows.join(best, "group").select("doc_id", "th", "count", (F.col("best") == F.struct("doc_id", "th")).alias("stays")).where("not stays or count > 1")
+    doc, th, stays, at = fresh(docs.columns, "doc", "th", "stays", "at")
+    marks = marks.select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("stays").alias(stays))
+    w = Window.partitionBy(doc, th).orderBy(F.lit(0))
+    held = docs.withColumns({doc: F.col("doc_id").cast("bigint"), th: F.xxhash64("text")}).join(marks, [doc, th], "left").withColumn(at, F.row_number().over(w))
+    return held.where(F.col(stays).isNull() | (F.col(stays) & (F.col(at) == 1))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -4,18 +4,22 @@ Rolling-hash triggers cut every text into phrases.  The trigger of a 100-byte st
 substring of least rolling hash, leftmost of ties; strings that follow one another and share their
 trigger form a phrase, so neighbouring phrases overlap by 99 bytes and every 100-byte string lies in
 exactly one phrase, fixed by its own bytes.  Equal strings therefore sit in phrases of equal trigger,
-at the same distance from it, and no comparison ever runs past a phrase.
+at the same distance from it, and no comparison ever runs past a phrase: the order of the parse's
+suffixes that a comparison needs is one phrase deep.
 
 The parse (phrases in corpus order) settles most strings: texts are held in blocks of ascending doc_id,
 each block sends every trigger once, and a phrase that is the same wherever its trigger occurs keeps its
-first occurrence only.  Triggers with several different phrases go to the dictionary: those phrases
-travel as text, once for each block, and the suffixes of the dictionary phrases, sorted by their first
-100 bytes with prefix doubling (over phrases that share a fingerprint with others), put equal strings
-side by side, where corpus order says which is first.  Triggers with very many phrases, such as a line
-common to a great share of all texts, send fingerprints of their strings instead, which spread evenly.
-
-A null text counts as empty.  Rows that repeat a doc_id are ordered by a hash of their text, so an equal
-text later in that order is removed; null doc_ids come last.  Texts under 100 bytes lose nothing.
+first occurrence only.  Triggers with several different phrases go to the dictionary.  Their phrases are
+cut once more, by the distance of strings from the trigger, into pieces of at most STRETCH strings; the
+bytes that a piece's strings share say where it goes, so a trigger common to a great share of all texts
+spreads over the buckets.  There the suffixes of the dictionary's pieces, sorted by their first 100 bytes
+with prefix doubling (of pieces that share a fingerprint with others), put equal strings side by side,
+where corpus order says which is first.  Phrases and pieces are named by 64-bit rolling hashes, as
+dictionaries of this kind are; strings of different pieces are told apart by their bytes.
+
+doc_id counts as bigint.  A null text counts as empty.  Rows that repeat a doc_id are ordered by a hash
+of their text, so an equal text later in that order is removed; null doc_ids come last.  Texts under 100
+bytes lose nothing.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,17 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Roll, buckets, joined, mix, packed, ragged, raw_bytes, text_block, tidy
+from .common import U64, Roll, buckets, joined, mix, packed, ragged, raw_bytes, refit, text_block, tidy
 
 SIZE, TRIGGER = 100, 32
-#: Triggers with more phrases than this go by fingerprints of their strings.
-HOT = 512
-#: Bytes hashed at a time.
-CHUNK = 1 << 18
+#: Strings of a piece.
+STRETCH = 9
+#: Bytes of text of a block, and ranges of doc_id that are weighed to make blocks; bytes hashed at a time.
+BLOCK, RANGES, CHUNK = 4 << 20, 4096, 1 << 18
 LAST = 2**63 - 1
 PARSE = "bucket int, q int, trigger binary, phrase binary"
 REPLY = "q int, trigger binary, kind binary"
-WORK = "kind int, bucket int, q int, a binary, b binary, c binary"
+WORK = "kind int, bucket int, q int, a binary, b binary"
 CUTS = "q int, cuts binary"
 
 
@@ -45,7 +49,7 @@ CUTS = "q int, cuts binary"
 
 
 class Runs:
-    """Phrases of the texts of a block, in corpus order: text, strings first..last, trigger and phrase hashes."""
+    """Phrases of the texts of a block, in corpus order: text, strings first..last, hashes of trigger and phrase, the trigger's place."""
 
     def __init__(self, texts: list[bytes]):
         self.texts = texts
@@ -57,7 +61,7 @@ class Runs:
                 j += 1
             parts.append(self._of(texts[i:j], i))
             i = j
-        self.row, self.first, self.last, self.trigger, self.phrase = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, dtype=np.int64) for k in range(5))
+        self.row, self.first, self.last, self.trigger, self.phrase, self.at = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, dtype=np.int64) for k in range(6))
 
     @staticmethod
     def _of(texts: list[bytes], base: int) -> tuple:
@@ -65,7 +69,7 @@ class Runs:
         count = np.maximum(end - first - SIZE + 1, 0)
         if not count.sum():
             e = np.zeros(0, dtype=np.int64)
-            return e, e, e, e.astype(np.uint64), e.astype(np.uint64)
+            return e, e, e, e.astype(np.uint64), e.astype(np.uint64), e
         roll = Roll(buf)
         h = roll.windows(TRIGGER)
         m = (h & U64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
@@ -81,21 +85,28 @@ class Runs:
         new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
         stop = np.r_[new[1:], len(p)] - 1
         a, b, doc = p[new], p[stop], doc[new]
-        return doc + base, a - first[doc], b - first[doc], h[at[new]], roll.span(a, b + SIZE)
-
-    def strings(self, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, start and fingerprint of every string of the phrases on."""
-        row, start, print_ = [], [], []
-        for i in np.unique(self.row[on]):
-            k = on[self.row[on] == i] if len(on) < 64 else on[np.searchsorted(self.row[on], i) : np.searchsorted(self.row[on], i, "right")]
-            f, n = self.first[k], self.last[k] - self.first[k] + 1
-            s = ragged(f, n)
-            row.append(np.full(len(s), i))
-            start.append(s)
-            print_.append(Roll(np.frombuffer(self.texts[i], dtype=np.uint8)).span(s, s + SIZE))
-        if not row:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-        return np.concatenate(row), np.concatenate(start), np.concatenate(print_)
+        return doc + base, a - first[doc], b - first[doc], h[at[new]], roll.span(a, b + SIZE), at[new] - first[doc]
+
+    def bytes_of(self, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> bytes:
+        """The bytes of strings first..last of texts, end to end."""
+        return b"".join(self.texts[i][x : y + SIZE] for i, x, y in zip(row.tolist(), first.tolist(), last.tolist(), strict=True))
+
+    def pieces(self, on: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Pieces of the phrases on: row, first and last string, hash of the bytes that all strings at these distances share, hash of the piece."""
+        row, first, last, at = self.row[on], self.first[on], self.last[on], self.at[on]
+        low, high = (at - last) // STRETCH, (at - first) // STRETCH  # distances fall as strings advance
+        count = high - low + 1
+        j = ragged(low, count)
+        row, first, last, at = (np.repeat(x, count) for x in (row, first, last, at))
+        share = at - STRETCH * j
+        first, last = np.maximum(first, share - STRETCH + 1), np.minimum(last, share)
+        key, whole = np.zeros(len(row), dtype=np.uint64), np.zeros(len(row), dtype=np.uint64)
+        edge = np.flatnonzero(np.r_[True, row[1:] != row[:-1], True]) if len(row) else []
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            roll = Roll(np.frombuffer(self.texts[row[a]], dtype=np.uint8))
+            key[a:b] = roll.span(share[a:b], share[a:b] + SIZE - STRETCH + 1)
+            whole[a:b] = roll.span(first[a:b], last[a:b] + SIZE)
+        return row, first, last, key, whole
 
 
 def _spread(trigger: np.ndarray) -> np.ndarray:
@@ -115,12 +126,12 @@ def _cuts(row: np.ndarray, start: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.stack([row, start, last + SIZE], 1).astype("<i4")
 
 
-def _texts(t: pa.Table) -> tuple[pa.Table, list[bytes]]:
-    """The block in corpus order, and its texts."""
+def _texts(t: pa.Table) -> tuple[pa.StructArray, list[bytes]]:
+    """The block's rows in corpus order, and their texts."""
     tidy()  # what the block before has left
-    t = t.sort_by([("_key", "ascending"), ("_hash", "ascending")]).combine_chunks()
-    col = t.column("text")
-    return t, [b for c in col.chunks for b in raw_bytes(c)]
+    rows = t.sort_by([("key", "ascending"), ("hash", "ascending")]).column("row")
+    rows = pa.concat_arrays(rows.chunks) if rows.num_chunks else pa.array([], rows.type)
+    return rows, raw_bytes(rows.field(rows.type.get_field_index("text")))
 
 
 # ---- parse ---------------------------------------------------------------------------------------
@@ -137,8 +148,7 @@ def _parse(n: int):
         g, p = r.trigger[order], r.phrase[order]
         new = np.r_[True, g[1:] != g[:-1]]
         kinds = np.add.reduceat((new | np.r_[True, p[1:] != p[:-1]]).astype(np.uint64), np.flatnonzero(new))
-        # odd: the only phrase; even: twice the number of phrases
-        value = np.where(kinds == 1, p[new] | U64(1), kinds * U64(2))
+        value = np.where(kinds == 1, p[new] | U64(1), U64(0))  # the only phrase, or 0
         b = packed(_spread(g[new]), n, trigger=g[new], phrase=value)
         return pa.table({"bucket": b.column(0), "q": pa.array([q] * b.num_rows, pa.int32()), "trigger": b.column(1), "phrase": b.column(2)})
 
@@ -154,7 +164,7 @@ def _by_block(q: np.ndarray, **columns: np.ndarray) -> tuple[list[int], dict[str
 
 
 def _reply(t: pa.Table) -> pa.Table:
-    """What each block must know of its triggers.  1: its phrase stands in an earlier block; 2: several phrases; 3: very many."""
+    """What each block must know of its triggers.  1: its phrase stands in an earlier block; 2: other blocks have other phrases."""
     trigger, n = joined(t.column("trigger"), np.uint64)
     phrase = joined(t.column("phrase"), np.uint64)[0]
     q = np.repeat(t.column("q").to_numpy(), n)
@@ -162,11 +172,9 @@ def _reply(t: pa.Table) -> pa.Table:
     trigger, phrase, q = trigger[order], phrase[order], q[order]
     new = np.r_[True, trigger[1:] != trigger[:-1]]
     group, at = np.cumsum(new) - 1, np.flatnonzero(new)
-    many = (phrase & U64(1)) == 0
-    contested = (np.bincount(group, (phrase != phrase[at][group]) | many) > 0) & (np.bincount(group) > 1)
-    phrases = np.bincount(group, np.where(many, phrase >> U64(1), 1))
-    kind = np.where(contested[group], np.where(phrases[group] > HOT, 3, 2), np.where(new, 0, 1)).astype(np.uint8)
-    kind[(np.bincount(group) == 1)[group]] = 0
+    several = np.bincount(group) > 1
+    contested = np.bincount(group, (phrase != phrase[at][group]) | (phrase == 0)) > 0
+    kind = np.where(several[group], np.where(contested[group], 2, np.where(new, 0, 1)), 0).astype(np.uint8)
     on = kind > 0
     qs, cols = _by_block(q[on], trigger=trigger[on], kind=kind[on])
     return pa.table({"q": pa.array(qs, pa.int32()), "trigger": pa.array(cols["trigger"], pa.binary()), "kind": pa.array(cols["kind"], pa.binary())})
@@ -198,25 +206,27 @@ def _work(n: int):
             first = _firsts(pid)
             gone = (kind == 1) | ~first  # an equal phrase came before, here or in another block
             cuts = [_cuts(r.row[gone], r.first[gone], r.last[gone])]
-            # several phrases, in this block alone: strings are settled here; very many everywhere: first ones go on
-            for on, send in ((np.flatnonzero((kind == 0) & several & first), False), (np.flatnonzero((kind == 3) & first), True)):
-                row, start, key = r.strings(on)
-                new = _firsts(key)
-                cuts.append(_cuts(row[~new], start[~new], start[~new]))
-                if send and new.any():
-                    p = packed(key[new], n, key=key[new], row=row[new].astype("<i4"), start=start[new].astype("<i4"))
-                    rows += [(3, b, q, k, x, s) for b, k, x, s in zip(*(c.to_pylist() for c in p.columns), strict=True)]
-            on = np.flatnonzero((kind == 2) & first)
-            bucket = ((_spread(r.trigger[on]) >> U64(32)) * U64(n)) >> U64(32)
+            # several phrases, in this block alone: strings are settled here
+            on = np.flatnonzero((kind == 0) & several & first)
+            count = r.last[on] - r.first[on] + 1
+            length = count + SIZE - 1
+            later = _later(np.frombuffer(r.bytes_of(r.row[on], r.first[on], r.last[on]), dtype=np.uint8), np.cumsum(length) - length, count)
+            start = ragged(r.first[on], count)[later]
+            cuts.append(_cuts(np.repeat(r.row[on], count)[later], start, start))
+            # several phrases in several blocks: each piece goes to the dictionary once
+            row, a, b, key, whole = r.pieces(np.flatnonzero((kind == 2) & first))
+            new = _firsts(whole)
+            cuts.append(_cuts(row[~new], a[~new], b[~new]))
+            row, a, b, key = row[new], a[new], b[new], key[new]
+            bucket = ((key >> U64(32)) * U64(n)) >> U64(32)
             order = np.argsort(bucket, kind="stable")
-            on, bucket = on[order], bucket[order]
-            at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(on) else []
-            for a, b in zip(at, np.r_[at[1:], len(on)] if len(on) else [], strict=True):
-                k = on[a:b]
-                text = b"".join(r.texts[i][x : y + SIZE] for i, x, y in zip(r.row[k].tolist(), r.first[k].tolist(), r.last[k].tolist(), strict=True))
-                rows.append((2, int(bucket[a]), q, text, np.stack([r.row[k], r.first[k], r.last[k]], 1).astype("<i4").tobytes(), b""))
-            rows.append((0, q % n, q, _merge(np.concatenate(cuts)).tobytes(), b"", b""))
-        kinds_ = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            bucket = bucket[order]
+            at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(order) else []
+            for i, j in zip(at, np.r_[at[1:], len(order)] if len(order) else [], strict=True):
+                k = order[i:j]
+                rows.append((1, int(bucket[i]), q, r.bytes_of(row[k], a[k], b[k]), np.stack([row[k], a[k], b[k]], 1).astype("<i4").tobytes()))
+            rows.append((0, q % n, q, _merge(np.concatenate(cuts)).tobytes(), b""))
+        kinds_ = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table({c.split()[0]: pa.array([x[i] for x in rows], k) for i, (c, k) in enumerate(zip(WORK.split(", "), kinds_, strict=True))})
 
     return run
@@ -250,7 +260,12 @@ def suffix_ranks(text: np.ndarray, size: int) -> np.ndarray:
 
 
 def _later(text: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """For dictionary phrases in corpus order (starts at, strings count): which strings an earlier one equals."""
+    """For dictionary phrases in corpus order (starts at, strings count): which strings an earlier one equals.
+
+    Fingerprints only choose the phrases worth sorting; the order of the suffixes decides.
+    """
+    if not len(at):
+        return np.zeros(0, dtype=bool)
     s = ragged(at, count)
     phrase = np.repeat(np.arange(len(at)), count)
     uniq, inverse, times = np.unique(Roll(text).span(s, s + SIZE), return_inverse=True, return_counts=True)
@@ -270,43 +285,34 @@ def _later(text: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _settle(t: pa.Table) -> pa.Table:
-    """One bucket of one kind: cuts for each block."""
+    """One bucket of the dictionary: cuts for each block.  Cuts that blocks know already pass on."""
     tidy()
-    kind = t.column("kind")[0].as_py()
-    if kind == 0:
+    if not t.column("kind")[0].as_py():
         return pa.table({"q": t.column("q"), "cuts": t.column("a")})
-    t = t.sort_by("q")
-    if kind == 2:
-        text = joined(t.column("a"), np.uint8)[0]
-        where, n = joined(t.column("b"), "<i4")
-        where, q = where.reshape(-1, 3).astype(np.int64), np.repeat(t.column("q").to_numpy(), n // 3)
-        count = where[:, 2] - where[:, 1] + 1
-        length = count + SIZE - 1
-        order = np.lexsort((where[:, 1], where[:, 0], q))  # corpus order
-        at = (np.cumsum(length) - length)[order]
-        where, q, count = where[order], q[order], count[order]
-        later = _later(text, at, count)
-        row, start, q = np.repeat(where[:, 0], count)[later], ragged(where[:, 1], count)[later], np.repeat(q, count)[later]
-    else:
-        key, n = joined(t.column("a"), np.uint64)
-        later = ~_firsts(key)  # rows ascend in q, and a block sends each fingerprint once
-        row, start, q = joined(t.column("b"), "<i4")[0][later], joined(t.column("c"), "<i4")[0][later], np.repeat(t.column("q").to_numpy(), n)[later]
-    qs, cuts = [], []
-    for b in np.unique(q):
-        on = q == b if len(q) < 1000 else slice(np.searchsorted(q, b), np.searchsorted(q, b, "right"))
-        qs.append(int(b))
-        cuts.append(_merge(_cuts(row[on], start[on], start[on])).tobytes())
-    return pa.table({"q": pa.array(qs, pa.int32()), "cuts": pa.array(cuts, pa.binary())})
+    text = joined(t.column("a"), np.uint8)[0]
+    where, n = joined(t.column("b"), "<i4")
+    where, q = where.reshape(-1, 3).astype(np.int64), np.repeat(t.column("q").to_numpy(), n // 3)
+    count = where[:, 2] - where[:, 1] + 1
+    length = count + SIZE - 1
+    order = np.lexsort((where[:, 1], where[:, 0], q))  # corpus order
+    at = (np.cumsum(length) - length)[order]
+    where, q, count = where[order], q[order], count[order]
+    later = _later(text, at, count)
+    row, start, q = np.repeat(where[:, 0], count)[later], ragged(where[:, 1], count)[later], np.repeat(q, count)[later]
+    edge = np.r_[np.flatnonzero(np.r_[True, q[1:] != q[:-1]]), len(q)] if len(q) else [0]
+    cuts = [_merge(_cuts(row[a:b], start[a:b], start[a:b])).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    return pa.table({"q": pa.array(q[edge[:-1]] if len(q) else [], pa.int32()), "cuts": pa.array(cuts, pa.binary())})
 
 
 # ---- operator ------------------------------------------------------------------------------------
 
 
-def _apply(columns: list[str], decode: bool):
+def _apply(schema: T.StructType, decode: bool):
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    names = schema.names
 
     def run(docs: pa.Table, cuts: pa.Table) -> pa.Table:
-        t, texts = _texts(docs)
+        rows, texts = _texts(docs)
         c = _merge(joined(cuts.column("cuts"), "<i4")[0].reshape(-1, 3))
         lo, hi = np.searchsorted(c[:, 0], np.arange(len(texts))), np.searchsorted(c[:, 0], np.arange(len(texts)), "right")
         kept, spans = [], []
@@ -318,41 +324,80 @@ def _apply(columns: list[str], decode: bool):
                 at = b
             kept.append(b"".join(out) + x[at:] if mine else x)
             spans.append([{"start": a, "end": b} for a, b in mine])
-        out = {n: t.column(n) for n in columns}
-        if decode:
-            was = t.column("text").is_null().to_pylist()
-            out["text"] = pa.array([None if z else k.decode("utf-8", "ignore") for k, z in zip(kept, was, strict=True)], pa.string())
-            if "n_chars" in out:
-                out["n_chars"] = pa.array([None if x is None else len(x) for x in out["text"].to_pylist()], pa.int64())
-            return pa.table(out)
-        return pa.table(out | {"kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, spans_type)})
+        if not decode:
+            return pa.table([rows.field(0), pa.array(kept, pa.binary()), pa.array(spans, spans_type)], names=names)
+        fields = [rows.field(i) for i in range(rows.type.num_fields)]
+        was = fields[names.index("text")].is_null().to_pylist()
+        new = [None if z else k.decode("utf-8", "ignore") for k, z in zip(kept, was, strict=True)]
+        fields[names.index("text")] = pa.array(new, pa.string())
+        if "n_chars" in names:
+            i = names.index("n_chars")
+            fields[i] = refit(pa.array([None if x is None else len(x) for x in new], pa.int64()), fields[i].type)
+        return pa.table(fields, names=names)
 
     return run
 
 
-def _settled(docs: DataFrame, columns: list[str], decode: bool, schema: T.StructType) -> DataFrame:
-    spark = docs.sparkSession
-    n = buckets(spark)
+class Blocks:
+    """Blocks of ascending (doc_id, hash of text) and about BLOCK bytes of text.
+
+    Ranges of doc_id between quantiles are weighed; light neighbours form a block together, a heavy range is
+    cut at even distances, and one of a single doc_id (or of none) at even distances of the hash.
+    """
+
+    def __init__(self, rows: DataFrame, size: int):
+        total = rows.agg(F.sum("bytes")).first()[0] or 0
+        n = int(min(RANGES, max(1, 4 * total // size)))
+        got = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] if n > 1 else []
+        got = np.array(got or [], dtype=np.int64)
+        alone = got[1:][(got[1:] == got[:-1]) & (got[1:] < LAST)] + 1  # a doc_id of several quantiles is a range of its own
+        self.bounds = np.unique(np.r_[got, alone])
+        place = self.place
+        weight = {r["r"]: r["bytes"] for r in rows.groupBy(F.pandas_udf(lambda k: pd.Series(place(k.to_numpy()).astype(np.int32)), "int")("key").alias("r")).agg(F.sum("bytes").alias("bytes")).collect()} if n > 1 else {0: total}  # at most RANGES rows
+        ranges = len(self.bounds) + 1
+        self.low = np.r_[-(2**63), self.bounds].astype(np.float64)
+        self.width = np.maximum(np.r_[self.bounds, LAST].astype(np.float64) - self.low, 1)
+        self.single = np.r_[False, np.diff(self.bounds) == 1, self.bounds[-1:] == LAST] if len(self.bounds) else np.array([False])
+        self.base, self.parts = np.zeros(ranges, dtype=np.int64), np.ones(ranges, dtype=np.int64)
+        q, held = 0, 0
+        for r in range(ranges):
+            w = weight.get(r) or 0
+            if held and held + w > size:
+                q, held = q + 1, 0
+            self.base[r], self.parts[r] = q, max(1, -(-w // size))
+            if self.parts[r] > 1:
+                q, held = q + int(self.parts[r]), 0
+            else:
+                held += w
+        self.total = q + 1
+
+    def place(self, key: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, key, "right")
+
+    def of(self, key: np.ndarray, hash_: np.ndarray) -> np.ndarray:
+        r = self.place(key)
+        share = np.where(self.single[r], hash_.astype(np.float64) / 2.0**64 + 0.5, (key.astype(np.float64) - self.low[r]) / self.width[r])
+        return (self.base[r] + np.clip((share * self.parts[r]).astype(np.int64), 0, self.parts[r] - 1)).astype(np.int32)
+
+
+def _settled(docs: DataFrame, decode: bool, schema: T.StructType, size: int) -> DataFrame:
+    n = buckets(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
-    bounds = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n)).first()[0] or []
-    bounds = np.unique(np.array(bounds, dtype=np.int64))
-
-    @F.pandas_udf("int")
-    def block(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, k.to_numpy(), "right").astype(np.int32))
-
-    held = docs.select(*dict.fromkeys([*columns, "text"]), key.alias("_key"), F.xxhash64("text").alias("_hash")).withColumn("q", block("_key"))
+    blocks = Blocks(docs.select(key.alias("key"), F.octet_length("text").cast("bigint").alias("bytes")), size)
+    q = F.pandas_udf(lambda k, h: pd.Series(blocks.of(k.to_numpy(), h.to_numpy())), "int")
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"), F.xxhash64("text").alias("hash")).withColumn("q", q("key", "hash"))
     replies = held.groupBy("q").applyInArrow(_parse(n), PARSE).groupBy("bucket").applyInArrow(_reply, REPLY)
     work = held.groupBy("q").cogroup(replies.groupBy("q")).applyInArrow(_work(n), WORK)
     cuts = work.groupBy("kind", "bucket").applyInArrow(_settle, CUTS)
-    return held.groupBy("q").cogroup(cuts.groupBy("q")).applyInArrow(_apply(columns, decode), schema)
+    return held.groupBy("q").cogroup(cuts.groupBy("q")).applyInArrow(_apply(schema, decode), schema)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = BLOCK) -> DataFrame:
     """doc_id, kept (remaining bytes) and spans (removed bytes, maximal) of each row of docs (doc_id, text)."""
-    return _settled(docs.select("doc_id", "text"), ["doc_id"], False, T._parse_datatype_string("doc_id bigint, kept binary, spans array<struct<start:int,end:int>>"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return _settled(rows, False, T._parse_datatype_string("doc_id bigint, kept binary, spans array<struct<start:int,end:int>>"), size)
 
 
-def strip_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the repeated bytes taken out of text; a character cut in two is dropped, n_chars follows."""
-    return _settled(docs, docs.columns, True, docs.schema)
+def strip_repeats(docs: DataFrame, size: int = BLOCK) -> DataFrame:
+    """docs with the repeated bytes taken out of text; a character cut in two is dropped, n_chars follows.  All columns stay, whatever their names."""
+    return _settled(docs, True, docs.schema, size)

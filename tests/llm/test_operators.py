@@ -57,21 +57,41 @@ def brute_repeats(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot", [512, 1])
-def test_suffix_dedup(spark, docs, odd, monkeypatch, hot):
-    monkeypatch.setattr(pfp_dedup, "HOT", hot)
-    for df in (docs, odd.dropDuplicates(["doc_id"])):
-        got = sorted(((r["doc_id"], bytes(r["kept"]), len(r["spans"])) for r in pfp_dedup.remove_repeats(df).collect()), key=repr)
+@pytest.mark.parametrize("size", [pfp_dedup.BLOCK, 700])
+def test_suffix_dedup(spark, docs, odd, size):
+    more = spark.createDataFrame([(i, t) for i, t in enumerate(["ab" * 300, "x" + "ab" * 120, "aab" * 200, "a" * 1000, "é" * 90, "x" + "é" * 90, "日本" * 80, "b" + "日本" * 60, COMMON * 3, "zz" + COMMON[5:] + "tail " + COMMON, "ba" * 99, *(f"{i} head " + COMMON + f" tail {i * 7}" for i in range(40))])], "doc_id int, text string")
+    for df in (docs, odd.dropDuplicates(["doc_id"]), more) if size > 700 else (more, more.withColumn("doc_id", F.lit(None).cast("bigint")).limit(1), docs.limit(40)):
+        got = sorted(((r["doc_id"], bytes(r["kept"]), len(r["spans"])) for r in pfp_dedup.remove_repeats(df, size).collect()), key=repr)
         assert got == brute_repeats(texts_of(df))
 
 
-def test_suffix_dedup_hot_prints():
-    """Fingerprint rows settle by the smallest block."""
-    import pyarrow as pa
-
-    t = pa.table({"kind": [3, 3], "bucket": [0, 0], "q": [4, 2], "a": [np.array([7, 9], "u8").tobytes(), np.array([7], "u8").tobytes()], "b": [np.array([0, 1], "<i4").tobytes(), np.array([5], "<i4").tobytes()], "c": [np.array([10, 20], "<i4").tobytes(), np.array([30], "<i4").tobytes()]})
-    got = pfp_dedup._settle(t)
-    assert got.column("q").to_pylist() == [4] and np.frombuffer(got.column("cuts")[0].as_py(), "<i4").tolist() == [0, 10, 110]
+def test_strip_repeats(spark, odd):
+    """All columns stay under any name; types stay; text loses what remove_repeats takes out."""
+    names = [(f"{a}", F.lit(i)) for i, a in enumerate(("q", "_key", "key", "hash", "row", "cuts", "kept", "bucket", "a.b"))]
+    for chars in ("int", "string", "double"):
+        df = odd.withColumns(dict(names)).withColumn("n_chars", F.col("n_chars").cast(chars)).dropDuplicates(["doc_id"])
+        got = pfp_dedup.strip_repeats(df, 2000)
+        assert got.schema == df.schema
+        rows = {r["doc_id"]: r for r in got.collect()}
+        want = {r["doc_id"]: r for r in pfp_dedup.remove_repeats(df).collect()}
+        for r in df.collect():
+            g = rows[r["doc_id"]]
+            assert g["text"] == (None if r["text"] is None else bytes(want[r["doc_id"]]["kept"]).decode("utf-8", "ignore"))
+            assert all(g[n] == r[n] for n in df.columns if n not in ("text", "n_chars"))
+            assert g["n_chars"] == (None if g["text"] is None else {"int": int, "string": str, "double": float}[chars](len(g["text"])))
+
+
+def test_blocks_follow_order_and_bytes(spark):
+    """Blocks ascend with (doc_id, hash), and a hot id, nulls and heavy ranges are cut."""
+    rng = np.random.default_rng(1)
+    key = np.r_[np.full(3000, 77), np.full(2000, pfp_dedup.LAST), rng.integers(-50, 10**6, 3000), -(10**12)].astype(np.int64)
+    df = spark.createDataFrame([(int(k), 100) for k in key], "key bigint, bytes bigint")
+    b = pfp_dedup.Blocks(df, 20_000)
+    h = rng.integers(-(2**63), 2**63 - 1, len(key), dtype=np.int64)
+    q = b.of(key, h)
+    order = np.lexsort((h, key))
+    assert (np.diff(q[order]) >= 0).all() and q.max() < b.total
+    assert np.bincount(q).max() * 100 <= 60_000
 
 
 def test_suffix_ranks():
@@ -86,7 +106,7 @@ def brute_links(rows):
     for d, t in rows:
         w = re.findall(r"[^\x20\x09-\x0d]+", t or "")
         sets.append((d, frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()))
-    n, root = Counter(), {d: d for d, _ in sets}
+    n, root = Counter(), list(range(len(sets)))
 
     def find(x):
         while root[x] != x:
@@ -98,22 +118,64 @@ def brute_links(rows):
             if s and t and a is not None and b is not None and 5 * len(s & t) >= 4 * len(s | t):
                 n[i] += 1
                 n[j] += 1
-                x, y = find(a), find(b)
+                x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
-    return sorted(((d, find(d), n[i]) for i, (d, _) in enumerate(sets)), key=repr)
+    least = {}
+    for i, (d, _) in enumerate(sets):
+        r = find(i)
+        least[r] = min(x for x in (d, least.get(r, d)) if x is not None) if d is not None else None
+    return sorted(((d, least[find(i)], n[i]) for i, (d, _) in enumerate(sets)), key=repr)
+
+
+NEAR = " ".join(f"base{i}" for i in range(80))
+
+
+@pytest.fixture(scope="module")
+def near(spark):
+    """A group of near copies with two exact ones, and an id on several texts: other ones, a near copy, a repeated row."""
+    group = [(100 + i, NEAR.replace(f"base{3 * i + 9} ", f"new{i} ") if i else NEAR) for i in range(12)] + [(200, NEAR), (201, NEAR)]
+    other = " ".join(f"other{i}" for i in range(60))
+    group += [(105, other), (105, NEAR), (105, NEAR), (300, other.replace("other9 ", "x ")), (301, other), (301, other), (2, other + " end"), (302, None), (302, "")]
+    return spark.createDataFrame(group, "doc_id long, text string")
 
 
-@pytest.mark.parametrize("block", [128, 4])
-def test_jaccard_join(spark, docs, odd, monkeypatch, block):
+@pytest.mark.parametrize("block", [512, 4])
+def test_jaccard_join(spark, docs, odd, near, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    base = " ".join(f"base{i}" for i in range(80))
-    group = [(100 + i, base.replace(f"base{3 * i + 9} ", f"new{i} ") if i else base) for i in range(12)] + [(200, base), (201, base)]
-    near = spark.createDataFrame(group, "doc_id long, text string")
-    for df in (docs.select("doc_id", "text"), odd.select("doc_id", "text"), near):
+    for df in (docs.select("doc_id", "text"), odd.withColumn("doc_id", F.col("doc_id").cast("int")), near):
         got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.join(df).collect()), key=repr)
         assert got == brute_links(texts_of(df))
 
 
+def test_large_sets_connect_as_pairs_do():
+    """Sets over the limit of all pairs: the forest joins what surviving pairs join, of one side and across two."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, (6, jaccard.HASHES), dtype=np.uint8)
+    sig = base[rng.integers(0, 6, 120)]
+    noise = rng.random(sig.shape) < rng.random((120, 1)) * 0.5
+    sig = np.where(noise, rng.integers(0, 256, sig.shape, dtype=np.uint8), sig)
+    for side in (np.zeros(120, dtype=np.int64), rng.integers(0, 2, 120)):
+        a, b = np.triu_indices(120, 1)
+        on = (side[a] != side[b]) if side.any() else np.ones(len(a), dtype=bool)
+        want = jaccard._forest(120, *jaccard._pairs(sig, a[on], b[on]))
+        assert jaccard._forest(120, *jaccard._reached(sig, side)) == want
+
+
+def test_keep_first(spark, docs, odd, near):
+    """One row of each group of linked rows stays, all columns with it; rows without words or id stay."""
+    for df in (docs, odd, near.withColumn("th", F.lit(1)).withColumn("at", F.lit(2))):
+        rows = df.collect()
+        got = sorted(((r["doc_id"], r["text"]) for r in jaccard.keep_first(df).collect()), key=repr)
+        first = {(d, r) for d, r, _ in brute_links([(x["doc_id"], x["text"]) for x in rows])}
+        words = [(x["doc_id"], x["text"]) for x in rows if x["doc_id"] is not None and (x["text"] or "").split()]
+        assert jaccard.keep_first(df).columns == df.columns
+        heads = Counter(r for _, r in {(i, r) for i, (d, r, n) in enumerate(brute_links(words))})
+        assert Counter(d for d, t in got if d is not None and (t or "").split()).keys() == heads.keys() == {r for d, r in first if d == r and d in {x for x, _ in words}}
+        assert Counter(map(repr, got)) - Counter(repr(x) for x in [(r["doc_id"], r["text"]) for r in rows]) == Counter()
+        assert sum(1 for d, t in got if d is None or not (t or "").split()) == len(rows) - len(words)
+        assert sum(1 for r in brute_links(got) if r[2]) == 0  # nothing that stays is linked
+
+
 def test_posterior_keeps_likely_pairs():
     least = jaccard.least_matches()
     assert least[16] < 16 * 0.8 and least[128] < 128 * 0.8 and least[128] > 40
