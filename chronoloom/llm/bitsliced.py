@@ -8,8 +8,11 @@ significant slice downward; rows tied at the boundary are resolved by vec_id, an
 chosen rows are computed exactly.  Blocks of rows meet blocks of queries in a grid of groups.
 
 Vectors that are null or hold a null or non-finite component take no part, as queries or candidates.
-Missing trailing components count as 0.  Rows that repeat vec_id and vector count once; a query never
-meets a row of its own vec_id.  Null vec_ids are candidates but no queries, last in ties.
+Missing trailing components count as 0.  A query meets every row but its own: rows that repeat its vec_id
+are candidates like others, and of rows that repeat vec_id and vector each is a query and a candidate of
+its own.  vec_id is returned as bigint; null vec_ids are candidates but no queries, last in ties.  Tables
+of any size, of equal vectors or of vectors without components give what they have; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -22,15 +25,15 @@ from pyspark.sql import functions as F
 from .common import U64
 
 #: Rows and queries of a group, and the least number of parts along each side.
-ROWS, QUERIES, LEAST = 16_384, 256, 8
-COLUMNS = "query_id bigint, vec_id bigint, score bigint"
+ROWS, QUERIES, LEAST = 16_384, 2048, 8
+COLUMNS = "query_id bigint, h bigint, times bigint, vec_id bigint, score bigint"
 
 
 def quantised(table: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and x (array of bigint) of the rows that take part."""
+    """vec_id, x (array of bigint) and times (equal rows) of the rows that take part."""
     odd = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     x = F.transform("embedding", lambda v: F.floor(v.cast("double") * scale))
-    return table.where(F.col("embedding").isNotNull() & ~odd).select(F.col("vec_id").cast("bigint"), x.alias("x")).distinct()
+    return table.where(F.col("embedding").isNotNull() & ~odd).select(F.col("vec_id").cast("bigint").alias("vec_id"), x.alias("x")).groupBy("vec_id", "x").agg(F.count("*").alias("times"))
 
 
 def _add3(x: np.ndarray) -> np.ndarray:
@@ -74,7 +77,7 @@ class Index:
         self.width = max(1, int(u.max()).bit_length()) if u.size else 1
         u = np.concatenate([u, np.zeros((self.words * 64 - n, x.shape[1]), dtype=np.uint64)])
         bits = ((u[:, :, None] >> np.arange(self.width, dtype=np.uint64)) & U64(1)).astype(np.uint8)  # rows, attributes, slices
-        one = np.packbits(bits.transpose(1, 2, 0), axis=2, bitorder="little").view(np.uint64)
+        one = np.ascontiguousarray(np.packbits(bits.transpose(1, 2, 0), axis=2, bitorder="little")).view(np.uint64)
         self.slices = np.stack([one, ~one])  # as they are, and complemented
         self.all = np.packbits(np.arange(self.words * 64) < n, bitorder="little").view(np.uint64)
 
@@ -122,35 +125,40 @@ def _matrix(rows: list, dims: int) -> np.ndarray:
 def _cell(k: int):
     def run(t: pa.Table) -> pa.Table:
         vid, x, ask = t.column("vec_id").to_pylist(), t.column("x").to_pylist(), np.array(t.column("ask").to_pylist(), dtype=bool)
-        dims = max([len(r) for r in x], default=0)
-        m = _matrix(x, dims)
+        times, h = t.column("times").to_numpy(), t.column("h").to_numpy()
+        m = _matrix(x, max([len(r) for r in x], default=0))
         last = np.array([v is None for v in vid])
         ids = np.array([v or 0 for v in vid], dtype=np.int64)
         base = np.flatnonzero(~ask)
-        base = base[np.lexsort((ids[base], last[base]))]
-        out: tuple[list, list, list] = ([], [], [])
+        base = np.repeat(base, np.minimum(times[base], k + 1))  # of equal rows, more can't be among the best
+        base = base[np.lexsort((h[base], ids[base], last[base]))]
+        out: list[list] = [[] for _ in range(5)]
         if len(base) and ask.any():
             index = Index(m[base])
-            bid, none = ids[base], last[base]
+            bid, none, bh = ids[base], last[base], h[base]
             for i in np.flatnonzero(ask):
-                own = np.packbits(np.pad((bid == ids[i]) & ~none, (0, index.words * 64 - len(base))), bitorder="little").view(np.uint64)
-                rows = index.top(m[i], index.all & ~own, k)
-                out[0].extend([int(ids[i])] * len(rows))
-                out[1].extend(None if none[r] else int(bid[r]) for r in rows)
-                out[2].extend((index.x[rows] @ m[i]).tolist())
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), out, strict=True)})
+                allowed = index.all
+                own = np.flatnonzero((bid == ids[i]) & ~none & (bh == h[i]))[:1]
+                if len(own):  # one row of its own does not count
+                    allowed = allowed.copy()
+                    allowed[own // 64] &= ~(U64(1) << (own % 64).astype(np.uint64))
+                rows = index.top(m[i], allowed, k)
+                for c, v in zip(out, ([int(ids[i])] * len(rows), [int(h[i])] * len(rows), [int(times[i])] * len(rows), [None if none[r] else int(bid[r]) for r in rows], (index.x[rows] @ m[i]).tolist()), strict=True):
+                    c.extend(v)
+        return pa.table({n.split()[0]: pa.array(c, pa.int64()) for n, c in zip(COLUMNS.split(", "), out, strict=True)})
 
     return run
 
 
 def search(table: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best rows, ties to the smaller vec_id."""
-    q = quantised(table, scale)
+    q = quantised(table, scale).withColumn("h", F.xxhash64("vec_id", "x"))
     n = q.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
     down, across = max(LEAST, -(-n["n"] // ROWS)), max(LEAST, -(-n["q"] // QUERIES))
-    h = F.xxhash64("vec_id", "x")
-    rows = q.select("vec_id", "x", F.lit(False).alias("ask"), F.pmod(h, F.lit(down)).alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(across - 1).cast("bigint"))).alias("b"))
-    asks = q.where(is_query).select("vec_id", "x", F.lit(True).alias("ask"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(down - 1).cast("bigint"))).alias("a"), F.pmod(h, F.lit(across)).alias("b"))
+    to = lambda m: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint")))
+    rows = q.select("vec_id", "x", "times", "h", F.lit(False).alias("ask"), F.pmod("h", F.lit(down)).alias("a"), to(across).alias("b"))
+    asks = q.where(is_query).select("vec_id", "x", "times", "h", F.lit(True).alias("ask"), to(down).alias("a"), F.pmod("h", F.lit(across)).alias("b"))
     best = rows.unionByName(asks).groupBy("a", "b").applyInArrow(_cell(k), COLUMNS)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    w = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
+    best = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")).alias("n")).drop("n")

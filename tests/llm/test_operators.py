@@ -242,19 +242,42 @@ def test_perfect_hash_is_minimal():
     assert p.find(words).tolist() == list(range(5000)) and (p.find([b"x", b"", b"w5000"]) == -1).all() and len(set(p.words)) == 5000
 
 
+def brute_topk(rows, k=5, step=50):
+    live = [(i, np.floor(256 * np.array(v, dtype=np.float32).astype(float)).astype(int).tolist()) for i, v in rows if v is not None and None not in v and np.isfinite(np.array(v, dtype=float)).all()]
+    out = []
+    for a, (q, x) in enumerate(live):
+        if q is not None and q % step == 0:
+            s = sorted((-sum(p * r for p, r in zip(x, y)), i is None, i or 0) for b, (i, y) in enumerate(live) if a != b)[:k]  # noqa: B905
+            out += [(q, n + 1, None if none else i, -v) for n, (v, none, i) in enumerate(s)]
+    return sorted(out, key=repr)
+
+
 def test_topk(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 9)]) for i in range(150)]
-    rows += [(200 + i, rows[7][1]) for i in range(20)] + [(None, rows[3][1]), (300, None), (350, [float("nan")] * 9), (400, [1.0, None]), (450, [0.5]), (0, rows[0][1]), (500, [0.0] * 9)]
+    rows += [(200 + i, rows[7][1]) for i in range(20)] + [(None, rows[3][1]), (300, None), (350, [float("nan")] * 9), (400, [1.0, None]), (450, [0.5]), (0, rows[0][1]), (0, rows[1][1]), (500, [0.0] * 9)] + [(17, rows[17][1])] * 9
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    live = sorted({(i, tuple(np.floor(256 * np.array(v, dtype=np.float32).astype(float)).astype(int).tolist())) for i, v in rows if v and None not in v and np.isfinite(v).all()}, key=lambda r: (r[0] is None, r[0]))
-    want = []
-    for q, x in live:
-        if q is not None and q % 50 == 0:
-            s = sorted(((-sum(a * b for a, b in zip(x, y)), i is None, i or 0, i) for i, y in live if i != q))[:5]  # noqa: B905
-            want += [(q, k + 1, i, -v) for k, (v, _, _, i) in enumerate(s)]
-    got = sorted(map(tuple, bitsliced.search(table, F.col("vec_id") % 50 == 0).collect()))
-    assert got == sorted(want)
+    assert sorted(map(tuple, bitsliced.search(table, F.col("vec_id") % 50 == 0).collect()), key=repr) == brute_topk(rows)
+
+
+@pytest.mark.parametrize("n", [1, 2, 63, 64, 65])
+@pytest.mark.parametrize("dims", [0, 1, 2])
+@pytest.mark.parametrize("equal", [True, False])
+def test_index_of_any_shape(n, dims, equal):
+    rng = np.random.default_rng(n + dims)
+    x = np.broadcast_to(rng.integers(-300, 300, (1, dims)), (n, dims)) if equal else rng.integers(-300, 300, (n, dims))
+    x = np.array(x, dtype=np.int64)
+    index = bitsliced.Index(x)
+    for q in rng.integers(-300, 300, (4, dims)):
+        got = index.top(q, index.all, 5)
+        score = x @ q
+        assert sorted(got.tolist()) == sorted(sorted(range(n), key=lambda i: (-score[i], i))[:5])
+
+
+def test_topk_of_small_tables(spark):
+    for rows in ([(50, [0.5, 1.0])], [(i, [0.1 * i, 1.0]) for i in range(12)], [(i, [0.25, -0.5]) for i in range(400)], [(0, []), (50, []), (1, [])], [(50, [0.0]), (50, [0.0]), (50, [1.0])]):
+        table = spark.createDataFrame(rows, "vec_id int, embedding array<float>")
+        assert sorted(map(tuple, bitsliced.search(table, F.col("vec_id") % 50 == 0).collect()), key=repr) == brute_topk(rows)
 
 
 def test_quality_counts(odd, docs, labels):
