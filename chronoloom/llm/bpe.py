@@ -7,7 +7,7 @@ which resolves a whole pre-token that is in the vocabulary; the found entry's by
 strangers are told apart.  Tier two merges the bytes of the others: a linked list of parts and a heap
 of candidate merges ordered by rank, then by place.
 
-Null texts count as empty: no ids, and empty decoded bytes.  Repeated rows are encoded one by one.
+doc_id is returned as bigint.  Null texts count as empty: no ids, and empty decoded bytes.  Repeated rows are encoded one by one.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import U64, Roll, blocks, mix, ragged, strings
+from .common import U64, Roll, blocks, mix, ragged, rows_of, strings
 
 #: Distinct pieces a worker keeps; beyond it, the most used third stays.  Words: the latest two lots.
 PIECES = 600_000
@@ -346,4 +346,4 @@ def _run(docs: DataFrame, path: str, pattern: str, columns: str, of) -> DataFram
             rows = [of(ids[a:b], out[c:d], text[e : max(e, f - 1)]) for a, b, c, d, e, f in places]
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), *(pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, columns)
+    return rows_of(docs).mapInArrow(run, columns)

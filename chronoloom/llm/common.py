@@ -95,24 +95,41 @@ def crc_order(col: str):
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int) -> tuple[list[str], np.ndarray, list[int]]:
-    """At most per_class whole texts of each label value 0 and 1, none over max_bytes bytes.
+def rows_of(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id (as bigint, cast once), text, and more columns."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *more)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """At most per_class whole texts of each label value 0 and 1, none over max_bytes bytes; their labels; and all labelled ids of both classes, counted.
 
     Rows of labels that repeat a doc_id count once, with the largest value; nulls are left out.  The
     ids are bounded by 2 * per_class rows, which makes their broadcast safe at any input size.
     """
-    one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_y"))
+    one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("_y"))
     parts = [one.where(F.col("_y") == y).orderBy(crc_order("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     ids = parts[0].unionByName(parts[1])
     got = (
-        docs.select("doc_id", "text")
+        rows_of(docs)
         .where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
         .join(F.broadcast(ids), "doc_id")
         .orderBy(crc_order("doc_id"), "doc_id", F.xxhash64("text"))
         .limit(2 * per_class)
         .toArrow()
     )
-    return got.column("text").to_pylist(), np.array(got.column("_y").to_pylist(), dtype=np.int64), got.column("doc_id").to_pylist()
+    total = np.zeros(2)
+    for r in one.where("_y in (0, 1)").groupBy("_y").count().collect():  # two rows
+        total[r["_y"]] = r["count"]
+    return got.column("text").to_pylist(), np.array(got.column("_y").to_pylist(), dtype=np.int64), total
+
+
+def class_weights(y: np.ndarray, sampled: np.ndarray, total: np.ndarray | None) -> np.ndarray:
+    """Weights of the items y that give both classes their shares among all labelled ids; sampled: labels of the whole sample."""
+    if total is None:
+        return np.ones(len(y))
+    w = total / np.maximum(np.bincount(sampled, minlength=2), 1)
+    w = w[y]
+    return w * len(y) / max(w.sum(), 1e-12)
 
 
 # ---- Arrow batches -------------------------------------------------------------------------------

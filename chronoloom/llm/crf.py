@@ -141,16 +141,15 @@ def marginals(tok: Tokens, model: dict) -> np.ndarray:
     return messages(x[inverse], model["trans"], model["init"], tok.spans.at[:-1][tok.spans.count > 0])[3]
 
 
-def train(tok: Tokens, order: np.ndarray, labels: np.ndarray, starts: np.ndarray, k: int, rounds: int = 40, rate: float = 0.3, decay: float = 1e-4, least: int = 3, lexicon: int = 20_000) -> dict:
+def train(tok: Tokens, order: np.ndarray, labels: np.ndarray, starts: np.ndarray, k: int, rounds: int = 40, rate: float = 0.3, decay: float = 1e-4, least: int = 3) -> dict:
     """Fit to the token sequence tok[order] with its labels; chains begin at starts.
 
-    Words seen at least `least` times, the most frequent `lexicon` of them, have weights of their own.
+    Words seen at least `least` times have weights of their own.
     """
     uniq, first, inverse, count = np.unique(tok.hashes, return_index=True, return_inverse=True, return_counts=True)
     grams, at = gram_buckets(tok.buf, tok.spans.s[first], tok.spans.e[first])
     reps = np.diff(np.r_[at, len(grams[0])])
     often = np.flatnonzero(count >= least)
-    often = np.sort(often[np.argsort(-count[often], kind="stable")[:lexicon]])
     inv = inverse[order]
     y = np.zeros((len(order), k))
     y[np.arange(len(order)), labels] = 1

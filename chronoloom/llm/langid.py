@@ -5,22 +5,22 @@ the runs of all texts are spliced in random order, so that the chain learns tran
 languages from code-switched sequences.  Forward-backward gives each word's language; a text's
 language is the one with the largest mean probability over its words, and that mean is the score.
 
-A null text, and one without a letter, is `und` with score 0.  Without any training text everything is
-`und`.  Repeated rows are predicted one by one; ties go to the language that sorts first.
+doc_id is returned as bigint.  A null text, and one without a letter, is `und` with score 0.  Without any
+training text everything is `und`.  An empty table gives an empty result.  Repeated rows are predicted one by one; ties go to the language that sorts first.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import blocks, crc_order, seg_sum, strings
+from .common import blocks, crc_order, rows_of, seg_sum, strings
 
-#: Fitted on at most SAMPLE texts, evenly over at most LANGUAGES languages, none over SAMPLE_BYTES bytes.
-SAMPLE, LANGUAGES, SAMPLE_BYTES = 1000, 64, 6_000
+#: Fitted on SAMPLE texts evenly over all languages, LEAST of each at least, none over SAMPLE_BYTES bytes.
+SAMPLE, LEAST, SAMPLE_BYTES = 1000, 16, 6_000
 COLUMNS = "doc_id bigint, lang_pred string, score double"
 
 
@@ -70,17 +70,15 @@ def word_labels(text: str, model: dict) -> list[tuple[str, str, float]]:
 
 def fit(docs: DataFrame, learn: Column) -> dict | None:
     """A model from a bounded sample of docs (doc_id, text, lang) where learn is true."""
-    known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
-    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    known = rows_of(docs.where(learn), "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
+    langs = known.select("lang").distinct().count()
     if not langs:
         return None
-    parts = [known.where(F.col("lang") == x).select("doc_id", "text", "lang").orderBy(crc_order("doc_id"), "doc_id", F.xxhash64("text")).limit(-(-SAMPLE // len(langs))) for x in langs]
-    texts, names = [], []
-    for p in parts:
-        got = p.toArrow()
-        texts += got.column("text").to_pylist()
-        names += got.column("lang").to_pylist()
-    return train(texts, names)
+    w = Window.partitionBy("lang").orderBy(crc_order("doc_id"), "doc_id")
+    ids = known.select("lang", "doc_id").withColumn("n", F.row_number().over(w)).where(F.col("n") <= max(LEAST, -(-SAMPLE // langs))).select("lang", "doc_id").distinct()
+    # one text of each chosen id: as many rows as the sample has
+    got = known.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).orderBy("lang", crc_order("doc_id"), "doc_id").toArrow()
+    return train(got.column("text").to_pylist(), got.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -93,4 +91,4 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
             names, score = predict(strings(rb.column("text")), m)
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, COLUMNS)
+    return rows_of(docs).mapInArrow(run, COLUMNS)

@@ -5,7 +5,7 @@ in its partition; the table goes to the shared folder.  The totals of the partit
 are summed up to global offsets.  Pass two cuts every document where a window ends.  Windows are full
 but for the last, and every piece says where it begins in its document and in its window.
 
-A null text counts as empty and gives the end id alone.  Repeated rows are packed one by one.  An
+doc_id is returned as bigint.  A null text counts as empty and gives the end id alone.  Repeated rows are packed one by one.  An
 empty table gives no pieces.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Pieces
-from .common import blocks, materialize, ragged, single_threaded, strings
+from .common import blocks, materialize, ragged, rows_of, single_threaded, strings
 
 LENGTH = 2048
 END = 1
@@ -76,7 +76,7 @@ def tokenise(docs: DataFrame, path: str, end: int = END) -> DataFrame:
             before += int(n.sum())
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(first), pa.array(n), pa.array(rows, pa.binary())], names=["doc_id", "part", "before", "n", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, part int, before bigint, n bigint, ids binary")
+    return rows_of(docs).mapInArrow(run, "doc_id bigint, part int, before bigint, n bigint, ids binary")
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> DataFrame:

@@ -3,9 +3,10 @@
 Words are runs of bytes outside space and tab to carriage return.  Every count is exact and covers the
 whole text.  The classifier is a logistic regression over hashed words and hashed byte n-grams of 3
 and 5, each as a share of the text, fitted on labelled rows that pass the base rule and calibrated by
-Platt scaling on a fifth of them that the fit has not seen.  Texts are scored in Arrow batches.
+Platt scaling on a fifth of them that the fit has not seen, weighted to the classes' shares among all
+labelled rows.  Texts are scored in Arrow batches.
 
-Null and empty texts have no words and fail the base rule.  Repeated rows are scored one by one.  With
+doc_id is returned as bigint.  An empty table gives an empty result.  Null and empty texts have no words and fail the base rule.  Repeated rows are scored one by one.  With
 no labelled rows (or one class only) the model keeps whatever passes the base rule.
 """
 
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, WHITE, Roll, Spans, blocks, labelled_sample, mix, ragged, raw_bytes, seg_counts, seg_sum, table_of, text_block
+from .common import U64, WHITE, Roll, Spans, blocks, class_weights, labelled_sample, mix, ragged, raw_bytes, rows_of, seg_counts, seg_sum, table_of, text_block
 
 BITS = 18
 #: Fitted on at most SAMPLE texts of each class, none over SAMPLE_BYTES bytes.
@@ -112,24 +113,29 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def platt(z: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float]:
+def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 200) -> tuple[float, float]:
     """a, b of sigmoid(a * z + b), by Newton steps with smoothed targets."""
     t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    x = np.stack([z, np.ones_like(z)], 1)
+    mid, wide = z.mean(), max(z.std(), 1e-9)  # steps are taken on a scale of their own
+    x = np.stack([(z - mid) / wide, np.ones_like(z)], 1)
     w = np.array([1.0, 0.0])
     for _ in range(rounds):
         p = sigmoid(x @ w)
-        g = x.T @ (t - p) - 1e-3 * w * [1, 0]
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        g = x.T @ (weight * (t - p)) - 1e-3 * w * [1, 0]
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
         step = np.linalg.solve(h, g)
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1])
+    return float(w[0] / wide), float(w[1] - w[0] * mid / wide)
 
 
-def train(texts: list[str], y: np.ndarray, rounds: int = 60, scale: float = 100.0) -> dict | None:
-    """Weights of the three families, bias, and calibration; None without both classes."""
+def train(texts: list[str], y: np.ndarray, total: np.ndarray | None = None, rounds: int = 60, scale: float = 100.0) -> dict | None:
+    """Weights of the three families, bias, and calibration; None without both classes.
+
+    total: how many documents of each class there are, where the texts do not stand in that proportion.
+    """
+    sampled = y
     col, row, val, labels, n = [], [], [], [], 0
     for i in range(0, len(texts), 64):  # a few texts at a time: the driver holds their sparse rows only
         b = Block.of([t.encode("utf-8", "surrogatepass") for t in texts[i : i + 64]])
@@ -165,7 +171,9 @@ def train(texts: list[str], y: np.ndarray, rounds: int = 60, scale: float = 100.
         bias += 0.1 * r.sum() / np.sqrt(b2)
     z = np.bincount(row, val * w[col], minlength=len(y)) + bias
     on = held if held.any() else ~held
-    a, c = platt(z[on], y[on])
+    # the share of each class that passes the base rule is the sample's; of the fold, each class stands for what passes
+    passing = None if total is None else total * np.bincount(y, minlength=2) / np.maximum(np.bincount(sampled, minlength=2), 1)
+    a, c = platt(z[on], y[on], class_weights(y[on], y[on], passing))
     weights = np.zeros(3 << BITS)
     weights[used] = w * scale * a
     return {"weights": list(weights.astype(np.float32).reshape(3, -1)), "bias": a * bias + c}
@@ -185,12 +193,11 @@ def score(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) ->
             counts = [pa.array(st[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), *counts, pa.array(st["base_failed"]), pa.array(kept), pa.array(p)], names=[c.split()[0] for c in COLUMNS.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, COLUMNS)
+    return rows_of(docs).mapInArrow(run, COLUMNS)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
-    texts, y, _ = labelled_sample(docs, labels, "quality", SAMPLE, SAMPLE_BYTES)
-    return train(texts, y)
+    return train(*labelled_sample(docs, labels, "quality", SAMPLE, SAMPLE_BYTES))
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ model of random strings against one of ordinary identifiers reaches a fixed boun
 character.  Both models are trained from labelled samples: strings of a bounded sample of documents,
 random where a base pattern marks them and ordinary elsewhere, and seeded random strings.
 
-A null text counts as empty and has no spans.  Offsets are code points, ends exclusive.  Repeated rows
+doc_id is returned as bigint.  A null text counts as empty and has no spans.  An empty table gives an
+empty result.  Offsets are code points, ends exclusive.  Repeated rows
 are scanned one by one.  Without any documents the ordinary model knows only the uniform prior.
 """
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_order, strings
+from .common import blocks, crc_order, refit, rows_of, strings
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -123,11 +124,11 @@ def scan(docs: DataFrame, model: np.ndarray) -> DataFrame:
             spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in find(t, m)] for t in strings(rb.column("text"))]
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(spans, kind)], names=["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, spans {SPANS}")
+    return rows_of(docs).mapInArrow(run, f"doc_id bigint, spans {SPANS}")
 
 
 def redact(docs: DataFrame, model: np.ndarray, mark: str = "[secret]") -> DataFrame:
-    """docs with every span of text replaced by mark (overlapping spans by one); n_chars follows."""
+    """docs with every span of text replaced by mark (overlapping spans by one); n_chars follows in its own type.  All columns stay, whatever their names."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def clean(t: str | None, m: np.ndarray) -> str | None:
@@ -143,7 +144,7 @@ def redact(docs: DataFrame, model: np.ndarray, mark: str = "[secret]") -> DataFr
     def run(batches):
         for rb in blocks(batches):
             texts = [clean(t, held.value) for t in rb.column("text").to_pylist()]
-            cols = [pa.array(texts, pa.string()) if n == "text" else pa.array([None if t is None else len(t) for t in texts], pa.int64()) if n == "n_chars" else rb.column(n) for n in rb.schema.names]
+            cols = [pa.array(texts, pa.string()) if n == "text" else refit(pa.array([None if t is None else len(t) for t in texts], pa.int64()), rb.column(n).type) if n == "n_chars" else rb.column(n) for n in rb.schema.names]
             yield pa.RecordBatch.from_arrays(cols, names=rb.schema.names)
 
     return docs.mapInArrow(run, docs.schema)

@@ -5,9 +5,9 @@ if the word, or a prefix of 4 to 8 bytes, stands there in many different surroun
 in clean ones (different neighbours, so that copies of one document do not count as evidence).  The
 field is fitted on stretches of those tokens.  The largest forward-backward marginal of a document and
 the sum of those from 0.2 on go through a logistic curve, fitted on labelled documents that the field
-has not seen; that is the score.
+has not seen, weighted to the classes' shares among all labelled ones; that is the score.
 
-A null text counts as empty; an empty text has the score of a document without any toxic token.
+doc_id is returned as bigint.  An empty table gives an empty result.  A null text counts as empty; an empty text has the score of a document without any toxic token.
 Repeated rows are scored one by one.  Without labelled documents of both classes the score is 0.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import crf
-from .common import U64, Roll, blocks, labelled_sample, mix, seg_sum, strings
+from .common import U64, Roll, blocks, class_weights, labelled_sample, mix, rows_of, seg_sum, strings
 from .quality import sigmoid
 
 #: Fitted on at most SAMPLE documents of each class, none over SAMPLE_BYTES bytes.
@@ -62,18 +62,19 @@ def _summary(tok: crf.Tokens, p: np.ndarray) -> np.ndarray:
     return np.stack([np.log(top / (1 - top)), np.log1p(seg_sum(np.where(p >= 0.2, p, 0), s, e)), np.ones(len(s))], 1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(100):
         p = sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w)), x.T @ (y - p) - 0.05 * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w)), x.T @ (weight * (y - p)) - 0.05 * w)
         w += np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def train(texts: list[str], y: np.ndarray, seed: int = 7, reach: int = 12) -> dict | None:
+def train(texts: list[str], y: np.ndarray, total: np.ndarray | None = None, seed: int = 7, reach: int = 12) -> dict | None:
+    """total: how many documents of each class there are, where the texts do not stand in that proportion."""
     if len(np.unique(y)) < 2:
         return None
     held = np.arange(len(y)) % 4 == 3
@@ -97,7 +98,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7, reach: int = 12) -> di
     model = crf.train(tok, order, bad[order].astype(np.int64), starts, 2)
     on = np.flatnonzero(held) if held.any() else fit
     some = crf.Tokens.of([texts[i] for i in on])
-    model["curve"] = _logistic(_summary(some, crf.marginals(some, model)[:, 1]), y[on])
+    model["curve"] = _logistic(_summary(some, crf.marginals(some, model)[:, 1]), y[on], class_weights(y[on], y, total))
     return model
 
 
@@ -124,8 +125,7 @@ def assess(texts: list[str], model: dict | None) -> tuple[np.ndarray, list[list[
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     """A model from a bounded sample of labels (doc_id, toxic) and their docs (doc_id, text)."""
-    texts, y, _ = labelled_sample(docs, labels, "toxic", SAMPLE, SAMPLE_BYTES)
-    return train(texts, y)
+    return train(*labelled_sample(docs, labels, "toxic", SAMPLE, SAMPLE_BYTES))
 
 
 def tag(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -139,4 +139,4 @@ def tag(docs: DataFrame, model: dict | None) -> DataFrame:
             score, spans = assess(strings(rb.column("text")), m)
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), pa.array(spans, kind)], names=["doc_id", "score", "predicted", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, COLUMNS)
+    return rows_of(docs).mapInArrow(run, COLUMNS)

@@ -29,16 +29,6 @@ def odd(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, bucket string, root int")
 
 
-@pytest.fixture(scope="module")
-def docs(spark):
-    return spark.read.parquet(f"{DIR}/documents.parquet")
-
-
-@pytest.fixture(scope="module")
-def labels(spark):
-    return spark.read.parquet(f"{DIR}/labels.parquet")
-
-
 def texts_of(df):
     return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
 
