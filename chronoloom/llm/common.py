@@ -13,6 +13,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -297,13 +298,18 @@ def joined(col: pa.ChunkedArray | pa.Array, dtype) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(b"".join(rows), dtype=dtype), np.array([len(r) // w for r in rows], dtype=np.int64)
 
 
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: None
+
+
 def tidy() -> None:
     """Give memory that a worker no longer uses back to the system; its peak then follows one block, not the sum of many."""
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except OSError:  # another C library
-        pass
+    _trim()(0)
 
 
 def single_threaded() -> None:

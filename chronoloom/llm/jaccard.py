@@ -341,7 +341,7 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     tasks = max(1, total["rows"] // BLOCK, (total["bytes"] or 0) // BLOCK_BYTES)
     sizes = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int").alias("blocks"))
     members = groups.join(sizes, "root").withColumnRenamed("text_class", "doc_id")
-    sets = rows.select("doc_id", "text").join(members, "doc_id").mapInArrow(_sets, "id bigint, root bigint, blocks int, docs bigint, shingles binary")
+    sets = rows.select("doc_id", "text").join(members.hint("merge"), "doc_id").mapInArrow(_sets, "id bigint, root bigint, blocks int, docs bigint, shingles binary")
     dealt = _dealt(sets, "root", tasks).select("id", "root", "docs", "shingles", "side", "task", "alone")
     linked = materialize(dealt.groupBy("alone", "task").applyInArrow(_verify, "id bigint, links bigint, low bigint"), "jaccard-links")
     tree = components(linked.where("low < id").select(F.col("id").alias("u"), F.col("low").alias("v")), "jaccard-trees").select(F.col("node").alias("id"), F.col("root").alias("tree"))
@@ -374,5 +374,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     doc, th, stays, at = fresh(docs.columns, "doc", "th", "stays", "at")
     marks = marks.select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("stays").alias(stays))
     w = Window.partitionBy(doc, th).orderBy(F.lit(0))
-    held = docs.withColumns({doc: F.col("doc_id").cast("bigint"), th: F.xxhash64("text")}).join(marks, [doc, th], "left").withColumn(at, F.row_number().over(w))
+    held = docs.withColumns({doc: F.col("doc_id").cast("bigint"), th: F.xxhash64("text")}).join(marks.hint("merge"), [doc, th], "left").withColumn(at, F.row_number().over(w))
     return held.where(F.col(stays).isNull() | (F.col(stays) & (F.col(at) == 1))).select(*(F.col(f"`{c}`") for c in docs.columns))
