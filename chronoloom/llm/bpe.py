@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import U64, Roll, blocks, mix, ragged, rows_of, strings
+from .common import U64, Roll, blocks, kept, mix, ragged, rows_of, strings
 
 #: Distinct pieces a worker keeps; beyond it, the most used third stays.  Words: the latest two lots.
 PIECES = 600_000
@@ -305,9 +305,6 @@ class Encoder(Pieces):
         return np.fromiter(chain.from_iterable(out), dtype=np.uint32, count=int(n.sum())), n
 
 
-_STATE: dict = {}
-
-
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) and decoded bytes of each row of docs (doc_id, text)."""
     return _run(docs, path, pattern, "doc_id bigint, ids binary, decoded binary", lambda ids, out, text: (ids.astype("<u4").tobytes(), out.tobytes()))
@@ -330,11 +327,8 @@ def _run(docs: DataFrame, path: str, pattern: str, columns: str, of) -> DataFram
     kinds = [{"binary": pa.binary(), "string": pa.string(), "bigint": pa.int64()}[f.dataType.simpleString()] for f in schema][1:]
 
     def run(batches):
-        key = ("bpe", path, pattern)
-        if key not in _STATE:
-            _STATE[key] = Encoder(held.value)
-        enc = _STATE[key]
-        for rb in blocks(batches):
+        enc = kept(("bpe", path, pattern), lambda: Encoder(held.value))
+        for rb in blocks(batches, keep=True):
             ids, n = enc(strings(rb.column("text")))
             size = np.zeros(len(ids) + 1, dtype=np.int64)
             np.cumsum(enc.bpe.length[ids], out=size[1:])

@@ -12,7 +12,7 @@ import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -136,8 +136,27 @@ def class_weights(y: np.ndarray, sampled: np.ndarray, total: np.ndarray | None)
 # ---- Arrow batches -------------------------------------------------------------------------------
 
 
-def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches into slices of about max_bytes of text; a longer text makes a slice of its own."""
+#: What a worker process keeps from task to task: the state of the operator that ran last, and of no other.
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """The worker's state under key, made if another operator ran last."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Drop what an operator with state has left in this worker."""
+    _KEPT.clear()
+
+
+def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = BLOCK_BYTES, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cut batches into slices of about max_bytes of text; a longer text makes a slice of its own.  keep: the operator has state in kept()."""
+    if not keep:
+        forget()
     for b in batches:
         if not b.num_rows:
             continue

@@ -20,17 +20,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Pieces
-from .common import blocks, materialize, ragged, rows_of, single_threaded, strings
+from .common import blocks, kept, materialize, ragged, rows_of, single_threaded, strings
 
 LENGTH = 2048
 END = 1
 COLUMNS = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
-_STATE: dict = {}
 
 
 def _encoder(path: str) -> Pieces:
     """Pieces by the tokenizers library; one for each worker process."""
-    if path not in _STATE:
+
+    def make() -> Pieces:
         single_threaded()
         from tokenizers import Tokenizer
 
@@ -56,8 +56,9 @@ def _encoder(path: str) -> Pieces:
             place = np.argsort(np.r_[some, rest])
             return ids[ragged((np.cumsum(n) - n)[place], n[place])], n[place]
 
-        _STATE[path] = Pieces(encode)
-    return _STATE[path]
+        return Pieces(encode)
+
+    return kept(("packing", path), make)
 
 
 def tokenise(docs: DataFrame, path: str, end: int = END) -> DataFrame:
@@ -65,7 +66,7 @@ def tokenise(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 
     def run(batches):
         enc, part, before = _encoder(path), TaskContext.get().partitionId(), 0
-        for rb in blocks(batches):
+        for rb in blocks(batches, keep=True):
             ids, n = enc(strings(rb.column("text")))
             stop = np.cumsum(n)
             kind = "<u2" if not len(ids) or max(ids.max(), end) < 1 << 16 else "<u4"

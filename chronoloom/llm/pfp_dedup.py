@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Roll, buckets, joined, mix, packed, ragged, raw_bytes, refit, text_block, tidy
+from .common import U64, Roll, buckets, forget, joined, mix, packed, ragged, raw_bytes, refit, text_block, tidy
 
 SIZE, TRIGGER = 100, 32
 #: Strings of a piece.
@@ -128,6 +128,7 @@ def _cuts(row: np.ndarray, start: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def _texts(t: pa.Table) -> tuple[pa.StructArray, list[bytes]]:
     """The block's rows in corpus order, and their texts."""
+    forget()
     tidy()  # what the block before has left
     rows = t.sort_by([("key", "ascending"), ("hash", "ascending")]).column("row")
     rows = pa.concat_arrays(rows.chunks) if rows.num_chunks else pa.array([], rows.type)
