@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import blocks, crc_order, rows_of, seg_sum, strings
+from .common import blocks, crc_order, rows_of, seg_sum, strings, tidy
 
 #: Fitted on SAMPLE texts evenly over all languages, LEAST of each at least, none over SAMPLE_BYTES bytes.
 SAMPLE, LEAST, SAMPLE_BYTES = 1000, 16, 6_000
@@ -78,7 +78,9 @@ def fit(docs: DataFrame, learn: Column) -> dict | None:
     ids = known.select("lang", "doc_id").withColumn("n", F.row_number().over(w)).where(F.col("n") <= max(LEAST, -(-SAMPLE // langs))).select("lang", "doc_id").distinct()
     # one text of each chosen id: as many rows as the sample has
     got = known.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).orderBy("lang", crc_order("doc_id"), "doc_id").toArrow()
-    return train(got.column("text").to_pylist(), got.column("lang").to_pylist())
+    model = train(got.column("text").to_pylist(), got.column("lang").to_pylist())
+    tidy()
+    return model
 
 
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:

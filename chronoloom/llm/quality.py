@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, WHITE, Roll, Spans, blocks, class_weights, labelled_sample, mix, ragged, raw_bytes, rows_of, seg_counts, seg_sum, table_of, text_block
+from .common import U64, WHITE, Roll, Spans, blocks, class_weights, labelled_sample, mix, ragged, raw_bytes, rows_of, seg_counts, seg_sum, table_of, text_block, tidy
 
 BITS = 18
 #: Fitted on at most SAMPLE texts of each class, none over SAMPLE_BYTES bytes.
@@ -197,7 +197,9 @@ def score(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
-    return train(*labelled_sample(docs, labels, "quality", SAMPLE, SAMPLE_BYTES))
+    model = train(*labelled_sample(docs, labels, "quality", SAMPLE, SAMPLE_BYTES))
+    tidy()
+    return model
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:

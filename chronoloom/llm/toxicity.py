@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import crf
-from .common import U64, Roll, blocks, class_weights, labelled_sample, mix, rows_of, seg_sum, strings
+from .common import U64, Roll, blocks, class_weights, labelled_sample, mix, rows_of, seg_sum, strings, tidy
 from .quality import sigmoid
 
 #: Fitted on at most SAMPLE documents of each class, none over SAMPLE_BYTES bytes.
@@ -125,7 +125,9 @@ def assess(texts: list[str], model: dict | None) -> tuple[np.ndarray, list[list[
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     """A model from a bounded sample of labels (doc_id, toxic) and their docs (doc_id, text)."""
-    return train(*labelled_sample(docs, labels, "toxic", SAMPLE, SAMPLE_BYTES))
+    model = train(*labelled_sample(docs, labels, "toxic", SAMPLE, SAMPLE_BYTES))
+    tidy()
+    return model
 
 
 def tag(docs: DataFrame, model: dict | None) -> DataFrame:
