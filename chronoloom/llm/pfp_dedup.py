@@ -298,7 +298,12 @@ def _settle(t: pa.Table) -> pa.Table:
     order = np.lexsort((where[:, 1], where[:, 0], q))  # corpus order
     at = (np.cumsum(length) - length)[order]
     where, q, count = where[order], q[order], count[order]
-    later = _later(text, at, count)
+    # the dictionary has each piece once, by its bytes; what repeats a piece goes whole
+    raw, seen = text.tobytes(), {}
+    new = np.fromiter((seen.setdefault(raw[a:b], i) == i for i, (a, b) in enumerate(zip(at.tolist(), (at + count + SIZE - 1).tolist(), strict=True))), dtype=bool, count=len(at))
+    del raw, seen
+    later = np.ones(int(count.sum()), dtype=bool)
+    later[np.repeat(new, count)] = _later(text, at[new], count[new])
     row, start, q = np.repeat(where[:, 0], count)[later], ragged(where[:, 1], count)[later], np.repeat(q, count)[later]
     edge = np.r_[np.flatnonzero(np.r_[True, q[1:] != q[:-1]]), len(q)] if len(q) else [0]
     cuts = [_merge(_cuts(row[a:b], start[a:b], start[a:b])).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
