@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.plans import consolidation, evaluation, media, memory, sequences, vectors
+from chronoloom.plans import consolidation, evaluation, media, memory, reports, sequences, vectors
 
-MODULES = (memory, sequences, vectors, evaluation, consolidation, media)
+MODULES = (memory, sequences, vectors, evaluation, consolidation, media, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

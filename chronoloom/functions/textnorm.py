@@ -51,6 +51,7 @@ LETTER_PATTERNS = (
     r"^\(?([A-Za-z])[\.\)]",
     r"\b([A-Za-z])[\.\)]?\s*$",
 )
+# Edge punctuation.
 _EDGE = r"[\s\"'`.,;:!?()\[\]{}-]+"
 
 
@@ -127,6 +128,27 @@ def choice_letter(response: Column, valid: tuple[str, ...] = ("A", "B", "C", "D"
     return F.coalesce(*(F.get(f, F.lit(0)) for f in found))
 
 
+def first_letter(response: Column) -> Column:
+    """Leading letter of a response, bracketed or followed by a mark or not; null if none."""
+    return F.nullif(F.upper(F.regexp_extract(F.trim(response), r"^\(?([A-Za-z])[\.\)]?\s*", 1)), F.lit(""))
+
+
+def bare(text: Column) -> Column:
+    """Lower case, trimmed, without full stops, commas and closing brackets at its end."""
+    return F.regexp_replace(F.trim(F.lower(text)), r"[.,)]+$", "")
+
+
+def right_choice(response: Column, gold: Column, gold_text: Column, letter: Column) -> Column:
+    """Is it the gold choice: by its text, by the letter found, or by both written out."""
+    r = bare(response)
+    return F.coalesce((r == bare(gold_text)) | (letter == gold) | (r == bare(F.concat(gold, F.lit(". "), gold_text))) | (r == bare(F.concat(F.lit("("), gold, F.lit(") "), gold_text))), r == bare(gold_text), F.lit(False))
+
+
+def canonical_key(parts: Column) -> Column:
+    """struct(s, p, o) of an array of parts, folded; missing parts are empty."""
+    return F.struct(*(fold(F.coalesce(F.get(parts, F.lit(i)), F.lit(""))).alias(n) for i, n in enumerate("spo")))
+
+
 def strip_option(text: Column) -> Column:
     return F.regexp_replace(text, r"^[A-D][.)]\s*", "")
 

@@ -49,6 +49,18 @@ def clock_seconds(clock: Column) -> Column:
     return F.when((m <= 59) & (s <= 59), h * 3600 + m * 60 + s)
 
 
+def frame_clock_seconds(clock: Column) -> Column:
+    """Seconds of the day of HHMMSSFF; frames do not count."""
+    c = clock.cast("bigint")
+    return (F.floor(c / 1_000_000) * 3600 + F.floor(c / 10_000) % 100 * 60 + F.floor(c / 100) % 100).cast("bigint")
+
+
+def seconds_frame_clock(seconds: Column) -> Column:
+    """HHMMSSFF of seconds of the day, frame 0."""
+    s = seconds.cast("bigint")
+    return (F.floor(s / 3600) * 1_000_000 + F.floor(s % 3600 / 60) * 10_000 + s % 60 * 100).cast("bigint")
+
+
 def srt_clock(seconds: Column, mark: str = ",") -> Column:
     """HH:MM:SS,mmm."""
     ms = F.bround(seconds * 1000).cast("bigint")

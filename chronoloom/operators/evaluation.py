@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.functions import textnorm as T
+
 Z = 1.96
 
 
@@ -57,6 +59,68 @@ def ranking(ranked: DataFrame, query: str, rank: str, relevant: Column, golds: C
     )
 
 
+# Responses that stand for a failure of the pipeline.
+FAILURES = ("Error", "Unable to generate answer")
+
+
+def failed(flag: Column, response: Column) -> Column:
+    return F.coalesce(flag, F.lit(False)) | F.coalesce(F.trim(response).isin(*FAILURES), F.lit(False))
+
+
+def summary(results: DataFrame) -> DataFrame:
+    """One row of counts and rates of results (failed, response, abstained, evaluate)."""
+    bad = failed(F.col("failed"), F.col("response"))
+    n = results.agg(F.count("*").alias("total"), F.count_if(bad).alias("failed"), F.count_if(F.coalesce("abstained", F.lit(False)) & ~bad).alias("abstained"), F.count_if("evaluate").alias("correct"))
+    n = n.withColumn("answered", F.col("total") - F.col("abstained") - F.col("failed")).withColumn("wrong", F.col("answered") - F.col("correct"))
+    rate = lambda a, b: zero_safe(F.col(a), F.col(b))
+    return n.select("*", rate("correct", "answered").alias("accuracy_answered"), rate("correct", "total").alias("accuracy_overall"), rate("abstained", "total").alias("abstention_rate"), rate("wrong", "total").alias("hallucination_rate"))
+
+
+def paired(base: DataFrame, system: DataFrame, key: str) -> DataFrame:
+    """key, base_ok, abstained, system_ok, outcome of the results that both arms have; a failure in either gives excluded_failure."""
+    arm = lambda d, p: d.select(key, failed(F.col("failed"), F.col("response")).alias(f"{p}_bad"), F.coalesce("evaluate", F.lit(False)).alias(f"{p}_ok"), F.coalesce("abstained", F.lit(False)).alias(f"{p}_abstained"))
+    j = arm(base, "base").join(arm(system, "system"), key)
+    b, s = F.col("base_ok"), F.col("system_ok")
+    cell = (
+        F.when(F.col("base_bad") | F.col("system_bad"), "excluded_failure").when(F.col("system_abstained") & b, "abstain_baseline_right").when(F.col("system_abstained"), "abstain_baseline_wrong")
+        .when(b & s, "both_right").when(b, "system_lost").when(s, "system_gained").otherwise("both_wrong")
+    )
+    return j.select(key, "base_ok", F.col("system_abstained").alias("abstained"), "system_ok", cell.alias("outcome"))
+
+
+def paired_rates(pairs: DataFrame) -> DataFrame:
+    """One row: pairs that count, shares of abstentions over a right and a wrong baseline, and precision of abstaining."""
+    n = pairs.where("outcome <> 'excluded_failure'").agg(F.count("*").alias("n"), F.count_if(F.expr("outcome = 'abstain_baseline_right'")).alias("_o"), F.count_if(F.expr("outcome = 'abstain_baseline_wrong'")).alias("_a"))
+    return n.select("n", zero_safe(F.col("_o"), F.col("n")).alias("over_triggering"), zero_safe(F.col("_a"), F.col("n")).alias("avoided"), zero_safe(F.col("_a"), F.col("_o") + F.col("_a")).alias("precision"))
+
+
+def by_type(pairs: DataFrame, kind: str) -> DataFrame:
+    """kind, n, accuracy of the baseline, of the system where it answered, and share of abstentions; failures left out."""
+    g = pairs.where("outcome <> 'excluded_failure'").groupBy(F.coalesce(kind, F.lit("unknown")).alias(kind)).agg(F.count("*").alias("n"), F.count_if("base_ok").alias("_b"), F.count_if("abstained").alias("_a"), F.count_if("system_ok").alias("_s"))
+    return g.select(kind, "n", (F.col("_b") / F.col("n")).alias("base_accuracy"), zero_safe(F.col("_s"), F.col("n") - F.col("_a")).alias("system_accuracy"), (F.col("_a") / F.col("n")).alias("abstention"))
+
+
+def answer_scores(prediction: Column, golds: Column) -> tuple[Column, Column]:
+    """Exact match and token F1 of short answers, the best over the golds; both compare answer forms."""
+    words = lambda t: F.filter(F.split(T.answer_form(t), " "), lambda w: w != "")
+    times = lambda xs, w: F.size(F.filter(xs, lambda x: x == w))
+    p = words(prediction)
+
+    def f1(gold: Column) -> Column:
+        g = words(gold)
+        both = F.aggregate(F.array_distinct(p), F.lit(0), lambda n, w: n + F.least(times(p, w), times(g, w)))
+        return F.when(both == 0, 0.0).otherwise(2.0 * both / (F.size(p) + F.size(g)))
+
+    em = F.exists(golds, lambda g: T.answer_form(g) == T.answer_form(prediction)).cast("double")
+    return F.coalesce(em, F.lit(0.0)), F.coalesce(F.array_max(F.transform(golds, f1)), F.lit(0.0))
+
+
+def exponential_ndcg(grades: Column, k: int) -> Column:
+    """NDCG at k of graded relevance in ranked order, gains 2^grade - 1; 0 without any gain."""
+    dcg = lambda xs: F.aggregate(F.zip_with(F.slice(xs, 1, k), F.sequence(F.lit(1), F.lit(k)), lambda g, i: F.when(g.isNull(), 0.0).otherwise((F.pow(F.lit(2.0), g) - 1) / F.log2(i + 1.0))), F.lit(0.0), lambda s, x: s + x)
+    return zero_safe(dcg(grades), dcg(F.sort_array(grades, asc=False)))
+
+
 def score_report(scores: DataFrame, by: str, score: str) -> DataFrame:
     """by, datasets, missing, mean of the scores there are."""
     return scores.groupBy(by).agg(F.count("*").alias("datasets"), F.count_if(F.col(score).isNull()).alias("missing"), F.avg(score).alias("mean"))

@@ -13,8 +13,9 @@ CUT = 8
 def pagerank(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
     """node, rank.  edges: src, dst, weight, both directions; seeds: node, weight summing to 1.
 
-    Nodes without edges send their rank to the seeds.  Two joins a round, pre-aggregated; lineage is cut
-    every CUT rounds.
+    Nodes without edges (seeds alone can be such) send their rank to the seeds.  Nothing but the reset
+    reaches them, so one number a round says what they send.  Two joins a round, pre-aggregated; lineage is
+    cut every CUT rounds.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     step = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
@@ -23,11 +24,14 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) ->
     if rounds > CUT:
         step, base = cut(step), cut(base)
     rank = base.withColumnRenamed("reset", "rank")
+    alone = base.join(out.select(F.col("src").alias("node")), "node", "left_anti").agg(F.sum("reset")).first()[0] or 0.0
+    sent = alone
     for i in range(rounds):
         if i and i % CUT == 0:
             rank = cut(rank)
         moved = step.join(rank, step["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        rank = base.join(moved, base["node"] == moved["dst"], "left").select("node", ((1 - damping) * F.col("reset") + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        rank = base.join(moved, base["node"] == moved["dst"], "left").select("node", ((1 - damping + damping * sent) * F.col("reset") + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        sent = (1 - damping + damping * sent) * alone
     return rank
 
 
@@ -73,6 +77,24 @@ def graph_counts(facts: DataFrame, passages: DataFrame, synonyms: DataFrame) ->
     return out
 
 
+def entity_graph(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices (node) and edges (src, dst, weight) of triples (s, o): non-empty ends, those without an edge too; loops left out, parallel edges counted; both directions."""
+    ends = triples.select(F.explode(F.array("s", "o")).alias("node")).where("node <> ''").distinct()
+    e = triples.where("s <> '' and o <> '' and s <> o").groupBy("s", "o").agg(F.count("*").cast("double").alias("_n"))
+    both = e.select(F.col("s").alias("src"), F.col("o").alias("dst"), "_n").unionByName(e.select(F.col("o").alias("src"), F.col("s").alias("dst"), "_n"))
+    return ends, both.groupBy("src", "dst").agg(F.sum("_n").alias("weight"))
+
+
+def without_chunks(tables: dict[str, DataFrame], mentions: DataFrame, deleted: DataFrame, chunk: str, name: str) -> dict[str, DataFrame]:
+    """The tables (of columns chunk or name) and mentions after the chunks are deleted: names go where no other chunk mentions them."""
+    gone, dead = deleted.select(chunk).distinct(), orphans(mentions, deleted, chunk, name)
+    out = {}
+    for k, t in (tables | {"mentions": mentions}).items():
+        t = t.join(gone, chunk, "left_anti") if chunk in t.columns else t
+        out[k] = t.join(dead, name, "left_anti") if name in t.columns else t
+    return out
+
+
 def orphans(mentions: DataFrame, deleted: DataFrame, chunk: str, name: str) -> DataFrame:
     """Names that only deleted chunks mention."""
     gone = mentions.join(deleted.select(chunk), chunk, "left_semi").select(name).distinct()

@@ -59,6 +59,48 @@ def or_empty(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFra
     return left.join(right.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.array().cast(right.schema[value].dataType)))
 
 
+def coverage(items: DataFrame, by: str, key: str, vectors: DataFrame, vec: str) -> DataFrame:
+    """status and groups: how many groups have vectors of all members (covered), of some (partial), of none (missing)."""
+    g = items.join(vectors.select(key, vec), key, "left").groupBy(by).agg(F.count(vec).alias("_h"), F.count("*").alias("_n"))
+    return g.groupBy(F.when(F.col("_h") == 0, "missing").when(F.col("_h") < F.col("_n"), "partial").otherwise("covered").alias("status")).agg(F.count("*").alias("groups"))
+
+
+def matched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left with right's columns, rows without a match left out."""
+    return left.join(right, key)
+
+
+def verification(entries: DataFrame, store: DataFrame, key: str, value: str) -> DataFrame:
+    """One row: hits and misses of entries in the store, keys that several entries share, store keys nobody claims, and hits of equal value (null-safe)."""
+    e = entries.groupBy(key).agg(F.count("*").alias("_n"), F.min(value).alias("_a"), F.lit(True).alias("_e"))
+    s = store.groupBy(key).agg(F.min(value).alias("_b"), F.lit(True).alias("_s"))
+    j = e.join(s, key, "full")
+    both = F.col("_e").isNotNull() & F.col("_s").isNotNull()
+    return j.agg(
+        F.coalesce(F.sum(F.when(both, F.col("_n"))), F.lit(0)).alias("hits"), F.coalesce(F.sum(F.when(F.col("_s").isNull(), F.col("_n"))), F.lit(0)).alias("misses"),
+        F.count_if(F.col("_n") > 1).alias("collisions"), F.count_if(F.col("_e").isNull()).alias("unclaimed"), F.count_if(both & F.col("_a").eqNullSafe(F.col("_b"))).alias("equal"),
+    )
+
+
+def rebuilt(captions: DataFrame, cache: DataFrame, sources: list[DataFrame], key: str, value: str) -> DataFrame:
+    """key, value, origin of the distinct keys of captions: what the cache keeps, else the first source that has it; others go."""
+    out = captions.select(key).distinct()
+    for i, t in enumerate([cache, *sources]):
+        out = out.join(t.groupBy(key).agg(F.max(value).alias(f"_v{i}")), key, "left")
+    names = [f"_v{i}" for i in range(len(sources) + 1)]
+    origin = F.coalesce(*(F.when(F.col(n).isNotNull(), "cache" if not i else f"source {i}") for i, n in enumerate(names)))
+    return out.select(key, F.coalesce(*names).alias(value), origin.alias("origin")).where(F.col(value).isNotNull())
+
+
+def by_path_or_stem(files: DataFrame, videos: DataFrame, path: str, video: str) -> DataFrame:
+    """files with video: the one of equal relative path without suffix, else of equal stem; of several the smallest."""
+    bare = lambda c: F.regexp_replace(c, r"\.[^./]*$", "")
+    stem = lambda c: F.regexp_extract(bare(c), r"([^/]*)$", 1)
+    f = files.withColumn("_p", bare(F.col(path))).withColumn("_s", stem(F.col(path)))
+    a, b = (videos.groupBy(k(F.col(video)).alias(n)).agg(F.min(video).alias(v)) for k, n, v in ((bare, "_p", "_a"), (stem, "_s", "_b")))
+    return f.join(a, "_p", "left").join(b, "_s", "left").withColumn("video", F.coalesce("_a", "_b")).drop("_p", "_s", "_a", "_b")
+
+
 def pooled(items: DataFrame, by: str, key: str, vectors: DataFrame, vec: str) -> DataFrame:
     """by, vec (mean of the members' vectors, null if none), covered and missing members.  items: by, key."""
     j = items.join(vectors.select(key, vec), key, "left")

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written by checkpoint() under spark.checkpoint.dir; where that is unset, in a folder of our own."""
+    """df, written by checkpoint() under spark.checkpoint.dir; where that is unset, in local mode only, in a folder of our own."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronoloom-"))
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="chronoloom-"))
     return df.checkpoint()

@@ -52,7 +52,7 @@ def graph_rank(edges: DataFrame, entities: DataFrame, passages: DataFrame, passa
 
 def retrieve(edges: DataFrame, facts: DataFrame, mentions: DataFrame, passages: DataFrame, facts_kept: int = 5, k: int = 5) -> DataFrame:
     """passage, rank: k best by the graph if any fact survives (facts: s, o, score, already filtered), else by dense score."""
-    top = best(scaled(facts, "score"), "score", "s", facts_kept)
+    top = scaled(facts, "score").orderBy(F.desc("score"), "s", "o").limit(facts_kept)
     if top.isEmpty():
         return best(passages.select("passage", F.col("score").alias("rank")), "rank", "passage", k)
     return best(graph_rank(edges, seed_weights(top, mentions, facts_kept), passages), "rank", "passage", k)
@@ -94,5 +94,5 @@ def same_surface(entities: DataFrame, surface: str, score: str, tie: str) -> Dat
     """The entities whose surface form is the best one's, with their number and the margin between the first two."""
     first = F.broadcast(best(entities, score, tie, 1).select(surface))
     c = entities.join(first, surface, "left_semi")
-    m = c.agg(F.count("*").alias("candidates"), F.slice(F.reverse(F.sort_array(F.collect_list(score))), 1, 2).alias("_t"))
-    return c.crossJoin(F.broadcast(m)).withColumn("margin", F.when(F.col("candidates") > 1, F.col("_t")[0] - F.get("_t", F.lit(1)))).drop("_t")
+    m = c.agg(F.count("*").alias("candidates")).crossJoin(F.broadcast(c.orderBy(F.desc(score)).limit(2).agg(F.max(score).alias("_a"), F.min(score).alias("_b"))))  # single rows
+    return c.crossJoin(F.broadcast(m)).withColumn("margin", F.when(F.col("candidates") > 1, F.col("_a") - F.col("_b"))).drop("_a", "_b")

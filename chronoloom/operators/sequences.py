@@ -16,6 +16,19 @@ def gap_segments(df: DataFrame, by: str, time: str, tie: str, gap: float) -> Dat
     return df.withColumn("_new", new).withColumn("segment", F.sum("_new").over(w)).drop("_new")
 
 
+def stitched(frames: DataFrame, by: str, time: str, tie: str, gap: float) -> DataFrame:
+    """frames with gap (null on the first of by): of equal times the first by tie stays; gap says that the time since the row before exceeds the bound."""
+    one = frames.withColumn("_k", F.row_number().over(Window.partitionBy(by, time).orderBy(tie))).where("_k = 1").drop("_k")
+    return one.withColumn("gap", F.col(time) - F.lag(time).over(Window.partitionBy(by).orderBy(time)) > gap)
+
+
+def file_grid(entries: DataFrame, by: str, file: str, start: str, files: int) -> DataFrame:
+    """entries with chunk: files in order of their least start (then name), so many to a chunk; overlapping files stay whole."""
+    f = entries.groupBy(by, file).agg(F.min(start).alias("_s"))
+    f = f.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(by).orderBy("_s", file)) - 1) / files).cast("bigint"))  # one row a file
+    return entries.join(f.select(by, file, "chunk"), [by, file])
+
+
 def robust_z(df: DataFrame, by: str, order: list[str], x: str, half: int) -> DataFrame:
     """z: (x - median) / max(1.4826 MAD, floor) over half rows before and after, from 3 values on.
 

@@ -103,18 +103,16 @@ def closest_benchmark(spark, d):
 COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 
 
-@add(f"""WITH s AS (SELECT a.vec_id AS query_id, a.label = b.label AS rel, {COS} AS c, b.vec_id FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+@add(f"""WITH s AS (SELECT a.vec_id AS query_id, a.label = b.label AS rel, {COS} AS c, b.vec_id FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS pos, count(*) FILTER (rel) OVER (PARTITION BY query_id) AS golds, sum(CAST(rel AS INT)) OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS h FROM s),
 m AS (SELECT query_id, k, max(golds) AS golds, count(*) FILTER (rel AND pos <= k) AS n, coalesce(sum(h / pos) FILTER (rel AND pos <= k), 0) AS ap, min(pos) FILTER (rel AND pos <= k) AS first, coalesce(sum(1 / log2(pos + 1)) FILTER (rel AND pos <= k), 0) AS dcg FROM r, (VALUES (1), (5), (10)) v(k) GROUP BY 1, 2)
-SELECT query_id, k, round(n / k, 6) AS "precision", round(n / golds, 6) AS recall, CAST(n > 0 AS DOUBLE) AS hit, round(CASE WHEN n = 0 THEN 0 ELSE 2 * (n / k) * (n / golds) / (n / k + n / golds) END, 6) AS f1,
-round(ap / least(golds, k), 6) AS ap, round(coalesce(1.0 / first, 0), 6) AS rr, round(dcg / list_sum(list_transform(range(1, least(golds, k) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM m""")
+SELECT query_id, k, round(CASE WHEN golds = 0 THEN 0 ELSE n / k END, 6) AS "precision", round(CASE WHEN golds = 0 THEN 1 ELSE n / golds END, 6) AS recall, CAST(n > 0 AS DOUBLE) AS hit, round(CASE WHEN n = 0 THEN 0 ELSE 2 * (n / k) * (n / golds) / (n / k + n / golds) END, 6) AS f1,
+round(CASE WHEN golds = 0 THEN 0 ELSE ap / least(golds, k) END, 6) AS ap, round(coalesce(1.0 / first, 0), 6) AS rr, round(CASE WHEN golds = 0 THEN 0 ELSE dcg / list_sum(list_transform(range(1, least(golds, k) + 1), lambda i: 1 / log2(i + 1))) END, 6) AS ndcg FROM m""")
 def ranking_at_k(spark, d):
-    from .vectors import _against
+    from .vectors import nearest
 
-    s = _against(spark, d, 100).select("query_id", "vec_id", "score", (F.col("label") == F.col("query_label")).alias("rel"))
-    w = Window.partitionBy("query_id")
-    r = s.withColumn("pos", F.row_number().over(w.orderBy(F.desc("score"), "vec_id"))).withColumn("golds", F.count_if("rel").over(w))
-    m = evaluation.ranking(r, "query_id", "pos", F.col("rel"), F.col("golds"))
+    r, golds = nearest(spark, d, 10)
+    m = evaluation.ranking(r.join(golds, "query_id"), "query_id", "rank", F.col("rel"), F.col("golds"))
     return m.select("query_id", "k", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "hit", "f1", "ap", "rr", "ndcg")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import textnorm as T
 from chronoloom.functions import timekeys as K
-from chronoloom.operators import facts, joins
+from chronoloom.operators import facts, joins, lexical
 from chronoloom.sources import records
 
 from .base import TRIPLES, Registry, table, triples
@@ -106,13 +106,17 @@ def unioned_sources(spark, d):
     return a.unionByName(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("benchmark").alias("kind"), F.length("text").cast("bigint").alias("size")))
 
 
-def _bank(spark, d):
+def _mentions(spark, d):
     li, su, pa, na = (table(spark, d, n) for n in ("lineitem", "supplier", "part", "nation"))
-    m = (
+    return (
         li.join(su, F.col("l_suppkey") == F.col("s_suppkey")).join(pa, F.col("l_partkey") == F.col("p_partkey")).join(F.broadcast(na), F.col("s_nationkey") == F.col("n_nationkey"))
         .select(F.lower("p_type").alias("surface"), F.col("n_name").alias("location"), F.date_format("l_shipdate", "yyyyMMdd").cast("bigint").alias("at"), "l_orderkey")
     )
-    bank = m.groupBy("surface", "location").agg(F.min("at").alias("first_seen"), F.max("at").alias("last_seen"), F.count("*").alias("n_mentions"), F.countDistinct("l_orderkey").alias("n_chunks"), F.sort_array(F.collect_list("at")).alias("times"))
+
+
+def _bank(spark, d):
+    m = _mentions(spark, d)
+    bank = m.groupBy("surface", "location").agg(F.min("at").alias("first_seen"), F.max("at").alias("last_seen"), F.count("*").alias("n_mentions"), F.countDistinct("l_orderkey").alias("n_chunks"))
     k = F.row_number().over(Window.partitionBy("surface").orderBy(F.desc("n_mentions"), "location")) - 1
     return bank.withColumn("entity_id", F.concat(F.lit("ent-"), F.col("surface"), F.lit("-"), k.cast("string")))
 
@@ -135,20 +139,21 @@ def ambiguity_budget(spark, d):
     return s.agg(F.count("*").alias("surfaces"), F.count_if(F.expr("locations >= 2")).alias("ambiguous"), F.count_if(F.expr("locations between 2 and 3 and least >= 2")).alias("usable"), F.max("locations").alias("most"))
 
 
-@add(f"WITH {MENTIONS} SELECT entity_id, CAST(len(list_filter(times, lambda x: x <= 19970101)) AS BIGINT) AS visible FROM bank WHERE first_seen <= 19970101")
+@add(f"WITH {MENTIONS} SELECT surface, location, first_seen, CAST(len(list_filter(times, lambda x: x <= 19970101)) AS BIGINT) AS visible FROM bank WHERE first_seen <= 19970101")
 def time_gated_entities(spark, d):
-    b = _bank(spark, d).where("first_seen <= 19970101")
-    return b.select("entity_id", F.size(F.filter("times", lambda x: x <= 19970101)).cast("bigint").alias("visible"))
+    return lexical.visible_evidence(_mentions(spark, d), ["surface", "location"], "at", 19970101)
+
+
+ASKED = "Where is the large economy box, or the brushed steel one, that stood in nation 3?"
 
 
-@add(f"""WITH {MENTIONS}, s AS (SELECT entity_id, surface, (CASE WHEN surface = 'economy' THEN 1.0 WHEN surface LIKE '%m%' THEN 0.75 ELSE 0.25 END) * (1 + 0.08 * ln(1 + n_mentions)) * (CASE WHEN location = 'NATION_3' THEN 1.25 ELSE 1.0 END) AS raw FROM bank)
-SELECT entity_id, round(raw / max(raw) OVER (), 6) AS score FROM s""")
+@add(f"""WITH {MENTIONS}, x AS (SELECT entity_id, n_mentions, regexp_extract_all(surface, '[a-z0-9'']+') AS s, regexp_extract_all(lower(replace(location, '_', ' ')), '[a-z0-9'']+') AS l, regexp_extract_all(lower('{ASKED}'), '[a-z0-9'']+') AS q FROM bank),
+y AS (SELECT *, ' ' || array_to_string(q, ' ') || ' ' AS qs, ' ' || array_to_string(s, ' ') || ' ' AS ss, ' ' || array_to_string(l, ' ') || ' ' AS ls, len(list_distinct(s)) AS n, len(list_intersect(list_distinct(s), list_distinct(q))) AS c FROM x),
+z AS (SELECT entity_id, (CASE WHEN contains(qs, ss) THEN CASE WHEN n > 1 THEN 1.0 ELSE 0.9 END WHEN c > 0 THEN 0.75 * c / n END) * (1 + 0.08 * ln(1 + n_mentions)) * (CASE WHEN contains(qs, ls) THEN 1.25 ELSE 1.0 END) AS raw FROM y)
+SELECT entity_id, round(raw / max(raw) OVER (), 6) AS score FROM z WHERE raw IS NOT NULL""")
 def lexical_entity_rank(spark, d):
-    b = _bank(spark, d)
-    base = F.when(F.col("surface") == "economy", 1.0).when(F.col("surface").contains("m"), 0.75).otherwise(0.25)
-    raw = base * (1 + 0.08 * F.log1p("n_mentions")) * F.when(F.col("location") == "NATION_3", 1.25).otherwise(1.0)
-    b = b.select("entity_id", raw.alias("raw"))
-    return b.crossJoin(F.broadcast(b.agg(F.max("raw").alias("top")))).select("entity_id", F.round(F.col("raw") / F.col("top"), 6).alias("score"))  # top is one row
+    r = lexical.lexical_rank(_bank(spark, d), "entity_id", "surface", "n_mentions", "location", ASKED)
+    return r.select("entity_id", F.round("score", 6).alias("score"))
 
 
 @add(f"""SELECT page_id, {_norm("regexp_replace(html, '<[^>]*>', ' ', 'g')")} AS body, md5({_fold("regexp_replace(html, '<[^>]*>', ' ', 'g')")}) AS key FROM pages""")
