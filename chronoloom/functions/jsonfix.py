@@ -109,7 +109,7 @@ def filter_reply(response: Column, candidates: Column) -> Column:
 
 def sections(response: Column) -> Column:
     """map of field to text for replies in sections headed [[ ## field ## ]]."""
-    parts = F.slice(F.split(F.concat(F.lit("\n"), response), r"\n\s*\[\[ ## (?=\w+ ## \]\])"), 2, 10_000)
+    parts = F.filter(F.split(F.concat(F.lit("\n"), response), r"\n\s*\[\[ ## (?=\w+ ## \]\])"), lambda _, i: i > 0)
     pairs = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^(\w+) ## \]\]", 1), F.trim(F.regexp_replace(p, r"^\w+ ## \]\]\s*", ""))))
     return F.map_from_entries(pairs)
 

@@ -28,7 +28,7 @@ def raw_score(surface: Column, mentions: Column, location: Column, query: Column
 
 
 def lexical_rank(entities: DataFrame, key: str, surface: str, mentions: str, location: str, query: str, k: int | None = None) -> DataFrame:
-    """entities with score (the best one's is 1), best first, ties to the smaller key; those without a common word go."""
+    """entities with score (the best one's is 1), those without a common word left out; with k the best so many in order, ties to the smaller key."""
     s = entities.withColumn("score", raw_score(F.col(surface), F.col(mentions), F.col(location), F.lit(query))).where("score is not null")
     out = s.crossJoin(F.broadcast(s.agg(F.max("score").alias("_top")))).withColumn("score", F.col("score") / F.col("_top")).drop("_top")  # one row
     return out.orderBy(F.desc("score"), key).limit(k) if k else out

@@ -28,7 +28,7 @@ def complete(df: DataFrame, prompt: str, model: Model, batch: int = 50) -> DataF
 
     def one(text: str) -> tuple[str | None, str | None]:
         try:
-            return model([text])[0], None
+            return next(iter(model([text])), None), None
         except Exception as e:  # a model may raise anything; the row carries it
             return None, f"{type(e).__name__}: {e}"
 
@@ -40,29 +40,55 @@ def complete(df: DataFrame, prompt: str, model: Model, batch: int = 50) -> DataF
                 try:
                     got = [(r, None) for r in model(texts)]
                 except Exception:  # told apart below
+                    got = []
+                if len(got) != len(texts):  # replies that cannot be told apart count as a failed batch
                     got = [one(t) for t in texts]
                 yield part.assign(response=[r for r, _ in got], error=[e for _, e in got])
 
     return df.mapInPandas(run, schema)
 
 
-def structured(df: DataFrame, prompt: str, model: Model, field: str, retries: int = 2) -> DataFrame:
-    """df with value (JSON of the field or null), how and attempts: replies salvaged and coerced, failures asked again."""
+#: What a prompt says besides when its reply had no usable JSON.
+AGAIN = "\n\nThe reply before was no valid JSON object with the field {field}. Reply with that object only."
+
+
+def structured(df: DataFrame, prompt: str, model: Model, field: str, retries: int = 2, batch: int = 50) -> DataFrame:
+    """df with value (JSON of the field or null), how and attempts: replies salvaged and coerced.
+
+    Prompts go in batches; those that fail go again together, with a word on what was wrong.
+    """
+
+    def ask(texts: list[str]) -> list[tuple]:
+        try:
+            got = list(model(texts))
+        except Exception as e:  # a model may raise anything; the rows carry it
+            got = [e] * len(texts)
+        if len(got) != len(texts) or (len(texts) > 1 and isinstance(got[0], Exception)):
+            return [x for t in texts for x in ask([t])] if len(texts) > 1 else [(None, "error: no reply")]
+        out = []
+        for g in got:
+            try:
+                v, how = (None, f"error: {type(g).__name__}") if isinstance(g, Exception) else jsonfix.salvage(g)
+            except Exception as e:  # as above
+                v, how = None, f"error: {type(e).__name__}"
+            out.append((jsonfix.coerce(v, [field]), how))
+        return out
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for text in f[prompt].fillna(""):
-                for n in range(1, retries + 2):
-                    try:
-                        v, how = jsonfix.salvage(model([text])[0])
-                    except Exception as e:  # as above
-                        v, how = None, f"error: {type(e).__name__}"
-                    v = jsonfix.coerce(v, [field])
-                    if isinstance(v, dict) and field in v:
-                        break
-                good = isinstance(v, dict) and field in v
-                out.append((json.dumps(v[field], ensure_ascii=False) if good else None, how if good else ("failed" if not how.startswith("error") else how), n))
+            texts = f[prompt].fillna("").tolist()
+            out: list = [None] * len(texts)
+            left = list(range(len(texts)))
+            for n in range(1, retries + 2):
+                failed = []
+                for i in range(0, len(left), batch):
+                    some = left[i : i + batch]
+                    for j, (v, how) in zip(some, ask([texts[j] if n == 1 else texts[j] + AGAIN.format(field=field) for j in some]), strict=True):
+                        good = isinstance(v, dict) and field in v
+                        out[j] = (json.dumps(v[field], ensure_ascii=False) if good else None, how if good or how.startswith("error") else "failed", n)
+                        if not good:
+                            failed.append(j)
+                left = failed
             yield f.assign(value=[o[0] for o in out], how=[o[1] for o in out], attempts=[o[2] for o in out])
 
     return df.mapInPandas(run, T.StructType([*df.schema, T.StructField("value", T.StringType()), T.StructField("how", T.StringType()), T.StructField("attempts", T.IntegerType())]))

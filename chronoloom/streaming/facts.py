@@ -48,9 +48,49 @@ def fold_batches(path: str) -> Callable[[DataFrame, int], None]:
     return put
 
 
+def compact(spark: SparkSession, path: str, upto: int) -> None:
+    """Folders of micro-batches up to a number as one, batch=-1-upto; the old ones go when it is whole.
+
+    For foreachBatch after some batches: a replayed batch above the number is not touched, and rows are
+    counted once because readers skip folders that a compacted one covers.
+    """
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    numbers = _numbers(fs, p)
+    covered = [n for n in numbers if n <= upto]
+    if not covered:
+        return
+    facts.combine(spark.read.parquet(*(f"{path}/batch={n}" for n in _live(numbers) if n <= upto))).write.mode("overwrite").parquet(f"{path}/batch={-1 - upto}")
+    for n in covered:
+        if n != -1 - upto:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={n}"), True)
+
+
+def _numbers(fs, p) -> list[int]:
+    return sorted(int(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(p) if s.getPath().getName().startswith("batch=") and fs.exists(s.getPath().suffix("/_SUCCESS")))
+
+
+def _live(numbers: list[int]) -> list[int]:
+    """The folders that count: the widest compacted one, and batches after it."""
+    done = max((-1 - n for n in numbers if n < 0), default=-1)
+    return [n for n in numbers if n > done or n == -1 - done < 0]
+
+
+def route_late(on_time: str, late: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch on elapsed_nodes: rows with a node to one table, late ones to a side table; a replay overwrites itself."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        for path, rows in ((on_time, batch.where("not late").drop("late")), (late, batch.where("late").drop("late", "node"))):
+            rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return put
+
+
 def stored_facts(spark: SparkSession, path: str) -> DataFrame:
     """The facts of all micro-batches so far, one row each."""
-    return facts.combine(spark.read.parquet(path).drop("batch"))
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    live = _live(_numbers(p.getFileSystem(spark._jsc.hadoopConfiguration()), p))
+    return facts.combine(spark.read.parquet(*(f"{path}/batch={n}" for n in live)))
 
 
 def advance(source: DataFrame, index: DataFrame, until: str, time: str = "node") -> DataFrame:
