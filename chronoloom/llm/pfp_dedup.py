@@ -1,6 +1,6 @@
 """Removal of repeated 100-byte strings by prefix-free parsing.
 
-Rolling-hash triggers cut every text into phrases.  The trigger of a 100-byte string is its 32-byte
+Rolling-hash triggers cut every text into phrases.  The trigger of a 100-byte string is its 48-byte
 substring of least rolling hash, leftmost of ties; strings that follow one another and share their
 trigger form a phrase, so neighbouring phrases overlap by 99 bytes and every 100-byte string lies in
 exactly one phrase, fixed by its own bytes.  Equal strings therefore sit in phrases of equal trigger,
@@ -8,14 +8,15 @@ at the same distance from it, and no comparison ever runs past a phrase: the ord
 suffixes that a comparison needs is one phrase deep.
 
 The parse (phrases in corpus order) settles most strings: texts are held in blocks of ascending doc_id,
-each block sends every trigger once, and a phrase that is the same wherever its trigger occurs keeps its
-first occurrence only.  Triggers with several different phrases go to the dictionary.  Their phrases are
-cut once more, by the distance of strings from the trigger, into pieces of at most STRETCH strings; the
+each block sends every trigger once, and a phrase that is a block's only one of its trigger keeps its
+first such occurrence only.  Triggers with several different phrases go to the dictionary, with the first
+occurrences of those.  Their phrases are cut once more, by the distance of strings from the trigger, into pieces of at most STRETCH strings; the
 bytes that a piece's strings share say where it goes, so a trigger common to a great share of all texts
 spreads over the buckets.  There the suffixes of the dictionary's pieces, sorted by their first 100 bytes
 with prefix doubling (of pieces that share a fingerprint with others), put equal strings side by side,
 where corpus order says which is first.  Phrases and pieces are named by 64-bit rolling hashes, as
-dictionaries of this kind are; strings of different pieces are told apart by their bytes.
+dictionaries of this kind are; strings of different pieces are told apart by their bytes, which travel
+compressed.
 
 doc_id counts as bigint.  A null text counts as empty.  Rows that repeat a doc_id are ordered by a hash
 of their text, so an equal text later in that order is removed; null doc_ids come last.  Texts under 100
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 
 from .common import U64, Roll, buckets, forget, joined, mix, packed, ragged, raw_bytes, refit, text_block, tidy
 
-SIZE, TRIGGER = 100, 32
+SIZE, TRIGGER = 100, 48
 #: Strings of a piece.
 STRETCH = 9
 #: Bytes of text of a block, and ranges of doc_id that are weighed to make blocks; bytes hashed at a time.
@@ -169,13 +170,14 @@ def _reply(t: pa.Table) -> pa.Table:
     trigger, n = joined(t.column("trigger"), np.uint64)
     phrase = joined(t.column("phrase"), np.uint64)[0]
     q = np.repeat(t.column("q").to_numpy(), n)
-    order = np.lexsort((q, trigger))
+    order = np.lexsort((q, phrase, trigger))
     trigger, phrase, q = trigger[order], phrase[order], q[order]
     new = np.r_[True, trigger[1:] != trigger[:-1]]
     group, at = np.cumsum(new) - 1, np.flatnonzero(new)
     several = np.bincount(group) > 1
     contested = np.bincount(group, (phrase != phrase[at][group]) | (phrase == 0)) > 0
-    kind = np.where(several[group], np.where(contested[group], 2, np.where(new, 0, 1)), 0).astype(np.uint8)
+    again = ~new & (phrase != 0) & (phrase == np.r_[phrase[:1], phrase[:-1]])
+    kind = np.where(again, 1, np.where(several[group] & contested[group], 2, 0)).astype(np.uint8)
     on = kind > 0
     qs, cols = _by_block(q[on], trigger=trigger[on], kind=kind[on])
     return pa.table({"q": pa.array(qs, pa.int32()), "trigger": pa.array(cols["trigger"], pa.binary()), "kind": pa.array(cols["kind"], pa.binary())})
@@ -225,7 +227,7 @@ def _work(n: int):
             at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(order) else []
             for i, j in zip(at, np.r_[at[1:], len(order)] if len(order) else [], strict=True):
                 k = order[i:j]
-                rows.append((1, int(bucket[i]), q, r.bytes_of(row[k], a[k], b[k]), np.stack([row[k], a[k], b[k]], 1).astype("<i4").tobytes()))
+                rows.append((1, int(bucket[i]), q, pa.compress(r.bytes_of(row[k], a[k], b[k]), "zstd", asbytes=True), np.stack([row[k], a[k], b[k]], 1).astype("<i4").tobytes()))
             rows.append((0, q % n, q, _merge(np.concatenate(cuts)).tobytes(), b""))
         kinds_ = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table({c.split()[0]: pa.array([x[i] for x in rows], k) for i, (c, k) in enumerate(zip(WORK.split(", "), kinds_, strict=True))})
@@ -290,11 +292,12 @@ def _settle(t: pa.Table) -> pa.Table:
     tidy()
     if not t.column("kind")[0].as_py():
         return pa.table({"q": t.column("q"), "cuts": t.column("a")})
-    text = joined(t.column("a"), np.uint8)[0]
     where, n = joined(t.column("b"), "<i4")
     where, q = where.reshape(-1, 3).astype(np.int64), np.repeat(t.column("q").to_numpy(), n // 3)
     count = where[:, 2] - where[:, 1] + 1
     length = count + SIZE - 1
+    size = np.add.reduceat(length, np.cumsum(n // 3) - n // 3).tolist()
+    text = np.frombuffer(b"".join(pa.decompress(x.as_buffer(), k, "zstd", asbytes=True) for x, k in zip(t.column("a"), size, strict=True)), dtype=np.uint8)
     order = np.lexsort((where[:, 1], where[:, 0], q))  # corpus order
     at = (np.cumsum(length) - length)[order]
     where, q, count = where[order], q[order], count[order]

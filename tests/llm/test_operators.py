@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +57,30 @@ def test_suffix_dedup(spark, docs, odd, size):
         assert got == brute_repeats(texts_of(df))
 
 
+def test_suffix_dictionary_size():
+    """Copies and near copies in many blocks send each phrase that differs to the dictionary, and few bytes of it."""
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(4000)]
+    base, n = [" ".join(rng.choice(words, 300)) for _ in range(12)], 64
+    blocks, size = [], 0
+    for q in range(10):
+        texts = [" ".join(rng.choice(words, 300)) for _ in range(12)]
+        for x in base:
+            at = int(rng.integers(0, len(x)))
+            texts.append(x[:at] + f" {q} edited " + x[at:])
+        size += sum(map(len, texts))
+        blocks.append(pa.table({"q": pa.array([q] * len(texts), pa.int32()), "key": pa.array(range(len(texts)), pa.int64()), "hash": pa.array([0] * len(texts), pa.int64()), "row": pa.array([{"text": x} for x in texts])}))
+
+    def grouped(t, by):
+        return [t.filter(pc.equal(t.column(by), k)) for k in pc.unique(t.column(by))]
+
+    asked = pa.concat_tables([pfp_dedup._parse(n)(b) for b in blocks])
+    told = pa.concat_tables([pfp_dedup._reply(t) for t in grouped(asked, "bucket")])
+    work = pa.concat_tables([pfp_dedup._work(n)(b, told.filter(pc.equal(told.column("q"), q))) for q, b in enumerate(blocks)])
+    sent = work.filter(pc.equal(work.column("kind"), 1))
+    assert sum(map(len, sent.column("a").to_pylist())) + sum(map(len, sent.column("b").to_pylist())) < 0.6 * size
+
+
 def test_strip_repeats(spark, odd):
     """All columns stay under any name; types stay; text loses what remove_repeats takes out."""
     names = [(f"{a}", F.lit(i)) for i, a in enumerate(("q", "_key", "key", "hash", "row", "cuts", "kept", "bucket", "a.b"))]
