@@ -1,8 +1,8 @@
 """A training corpus from raw documents: quality rules, near duplicates, repeated strings, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as
-Parquet in the shared folder and reads them again for the next.  All but the last return documents'
-columns.
+Parquet in the shared folder and reads them again for the next; once that is written, they are deleted.
+All but the last return documents' columns.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm import jaccard, packing, pfp_dedup, quality, secrets
-from chronoloom.llm.common import materialize, read
+from chronoloom.llm.common import discard, materialize, read
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -51,5 +51,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{i}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{i}")
+        if i:
+            discard(before)
     return docs

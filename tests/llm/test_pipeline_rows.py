@@ -2,13 +2,14 @@
 
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
 from chronoloom.llm import quality, secrets
-from chronoloom.llm.common import read
+from chronoloom.llm.common import read, shared_dir
 
 from .test_operators import DIR, brute_links, brute_repeats
 
@@ -33,3 +34,13 @@ def test_run_against_brute_force(spark):
         got[r["doc_id"]] += ids
         at += len(ids)
     assert dict(got) == want
+
+
+def test_run_keeps_one_table(spark, monkeypatch):
+    """A stage's table goes once the next one is written; the last stays and can be read."""
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(str(i), lambda spark, docs, sf_dir: docs) for i in range(4)])
+    held = Path(shared_dir(spark)) / "chronoloom"
+    before = set(held.glob("pipeline-*")) if held.exists() else set()
+    out = corpus_pipeline.run(spark, DIR)
+    assert [p.name.rsplit("-", 1)[0] for p in set(held.glob("pipeline-*")) - before] == ["pipeline-3"]
+    assert out.count() == read(spark, DIR, "documents").count()
