@@ -126,7 +126,8 @@ def _hidden(w: dict, ctx: np.ndarray) -> np.ndarray:
 
 def _exp(z: np.ndarray, at: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of rows of logits: those at the places, exponentials (in place of z) and their sums."""
-    np.minimum(z, 60, out=z)
+    if z.size and not z.max() <= 60:  # to look costs less than to cut
+        np.minimum(z, 60, out=z)
     picked = z[at]
     np.exp(z, out=z)
     return picked, z, z @ np.ones(z.shape[1], dtype=np.float32)
@@ -156,13 +157,24 @@ class _Tiles:
 
 
 def log_probs(w: dict, sym: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-    h = _hidden(w, ctx)
     cls, mem = sym % CLASSES, sym // CLASSES
-    z, _, s = _exp(h @ w["c"].T + w["cb"], (np.arange(len(sym)), cls))
-    out = (z - np.log(s)).astype(np.float64)
-    t = _Tiles(cls)
-    z, _, s = _exp(t.logits(t.put(h), w["m"][t.of], w["mb"]), (t.place, mem[t.order]))
-    out[t.order] += z - np.log(s[t.place])
+    out, h = np.zeros(len(sym)), np.zeros((len(sym), DIM), dtype=np.float32)
+    for a in range(0, len(sym), BATCH):
+        h[a : a + BATCH] = _hidden(w, ctx[:, a : a + BATCH])
+        z = h[a : a + BATCH] @ w["c"].T
+        z += w["cb"]
+        z, _, s = _exp(z, (np.arange(len(z)), cls[a : a + BATCH]))
+        out[a : a + BATCH] = z - np.log(s)
+    order = np.argsort(cls.astype(np.uint16), kind="stable")
+    h, mem = np.take(h, order, axis=0), mem[order]
+    end = np.cumsum(np.bincount(cls, minlength=CLASSES)).tolist()
+    for c, (i, j) in enumerate(zip([0, *end[:-1]], end, strict=True)):
+        for a in range(i, j, BATCH):
+            b = min(a + BATCH, j)
+            z = h[a:b] @ w["m"][c].T
+            z += w["mb"][c]
+            z, _, s = _exp(z, (np.arange(b - a), mem[a:b]))
+            out[order[a:b]] += z - np.log(s)
     return out
 
 
@@ -202,7 +214,7 @@ def step(w: dict, sym: np.ndarray, ctx: np.ndarray, rate: float) -> None:
     order = np.argsort(key, kind="stable")
     k = key[order]
     at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    g = np.add.reduceat(np.take(dh, order % n, axis=0), at, axis=0)
+    g = np.add.reduceat(np.take(dh, order % n, axis=0).view(np.complex64), at, axis=0).view(np.float32)  # two components to an addition
     g *= rate32 / np.sqrt(np.diff(np.r_[at, len(k)]).astype(np.float32))[:, None]  # frequent symbols take damped sums
     w["u"].reshape(-1, DIM)[k[at]] -= g
 
@@ -439,24 +451,22 @@ def _own(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
     return times[place]
 
 
-def _inside(tok: Tokens, words: np.ndarray, totals: np.ndarray, pairs: np.ndarray, near: np.ndarray, k: Counts) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens outside the most frequent words, and their log-probabilities inside their buckets by the counts of the other documents.
+def _inside(tok: Tokens, out: np.ndarray, on: np.ndarray, key: np.ndarray, totals: np.ndarray, near: np.ndarray, k: Counts) -> np.ndarray:
+    """Log-probabilities of tokens inside their buckets by the counts of the other documents.
 
-    words, totals: all such words of the group in order, with their counts; pairs, near: likewise of the keys of pairs().
+    out: which distinct words are not among the most frequent, totals: their counts; on, key: their tokens and those' pairs(),
+    near: the counts of these.
     """
-    out = ~tok.known(k.words)[1]
     uniq, at = tok.distinct[0][out], tok.distinct[1][out]
-    on = np.flatnonzero(out[tok.distinct[2]])
     which, doc = (np.cumsum(out) - 1)[tok.distinct[2][on]], tok.spans.doc[on]
     e = tok.endings(at)
     kinds = np.maximum(k.kinds[e], 1)
     new = np.log(kinds) + tok.spelled(at, k.letters)
-    others = totals[np.searchsorted(words, uniq)][which] - _own(doc, tok.hashes[on])
+    others = totals[which] - _own(doc, uniq[which])
     p = np.where(others > 0, np.log(np.maximum(others, 1) + np.exp(new)[which]), new[which]) - np.log(k.tokens[e] + kinds)[which]
-    key = tok.pairs(on)
-    there, here = near[np.searchsorted(pairs, key)].T.astype(np.float64)
+    there, here = near.T.astype(np.float64)
     here, there = here - _own(doc, key), there - _own(doc, key >> U64(16))
-    return on, np.where(here > 0, np.log(np.maximum(here, 1) + np.exp(p)), p) - np.log1p(np.maximum(there, 0))
+    return np.where(here > 0, np.log(np.maximum(here, 1) + np.exp(p)), p) - np.log1p(np.maximum(there, 0))
 
 
 def _score(held):
@@ -470,14 +480,18 @@ def _score(held):
             near = joined(told.column("total").slice(cut), "<f4")[0].reshape(-1, 2)
             lots = list(_lots(docs))
             far = [~t.known(k.words)[1] for _, t in lots]
-            words = np.unique(np.concatenate([t.distinct[0][x] for (_, t), x in zip(lots, far, strict=True)]))
-            pairs = np.unique(np.concatenate([t.pairs(np.flatnonzero(x[t.distinct[2]])) for (_, t), x in zip(lots, far, strict=True)]))
-            for ids, t in lots:
+            ons = [np.flatnonzero(x[t.distinct[2]]) for (_, t), x in zip(lots, far, strict=True)]
+            keys = [t.pairs(on) for (_, t), on in zip(lots, ons, strict=True)]
+            # replies come in the order of the group's distinct words and keys
+            words = np.unique(np.concatenate([t.distinct[0][x] for (_, t), x in zip(lots, far, strict=True)]), return_inverse=True)[1]
+            pairs = np.unique(np.concatenate(keys), return_inverse=True)[1]
+            words = np.split(words, np.cumsum([x.sum() for x in far])[:-1])
+            pairs = np.split(pairs, np.cumsum([len(x) for x in keys])[:-1])
+            for (ids, t), x, on, key, word, pair in zip(lots, far, ons, keys, words, pairs, strict=True):
                 sym = t.symbols(k.words, k.ids)
                 ctx = contexts(sym, t.spans.doc)
-                p = np.concatenate([np.zeros(0)] + [log_probs(w, sym[a : a + 2 * BATCH], ctx[:, a : a + 2 * BATCH]) for a in range(0, len(sym), 2 * BATCH)])
-                on, inside = _inside(t, words, totals, pairs, near, k)
-                p[on] += inside
+                p = np.concatenate([np.zeros(0)] + [log_probs(w, sym[a : a + LOT], ctx[:, a : a + LOT]) for a in range(0, len(sym), LOT)])
+                p[on] += _inside(t, x, on, key, totals[word], near[pair], k)
                 out.append((ids, t.spans.count, seg_sum(p, t.spans.at[:-1], t.spans.at[1:])))
         ids = pa.chunked_array([x[0] for x in out], pa.int64())
         n, total = (np.concatenate([np.zeros(0, dtype=d), *(x[i] for x in out)]) for i, d in ((1, np.int64), (2, np.float64)))

@@ -119,3 +119,19 @@ def test_held_out_beats_unigram(spark):
     held = lm.Tokens([(r["text"] or "").encode() for r in d.where(fold).collect()])
     sym = held.symbols(c.words, c.ids)
     assert lm.log_probs(w, sym, lm.contexts(sym, held.spans.doc)).mean() > share[sym].mean() + 0.2
+
+
+def test_scores_take_one_exponential_a_logit(monkeypatch):
+    """Log-probabilities hold against plain float64 ones, and no rows of padding are worked on."""
+    rng = np.random.default_rng(3)
+    n = 5000
+    sym, doc = (rng.zipf(1.3, n) % lm.VOCAB).astype(np.int64), np.repeat(np.arange(10), n // 10)
+    ctx, w = lm.contexts(sym, doc), {k: x * 3 for k, x in lm.start().items()}
+    sizes, plain = [], lm._exp
+    monkeypatch.setattr(lm, "_exp", lambda z, at: sizes.append(z.size) or plain(z, at))
+    got = lm.log_probs(w, sym, ctx)
+    h = np.tanh(sum(w["u"][j].astype(np.float64)[ctx[j]] for j in range(2 * lm.SIDE)))
+    c, m = h @ w["c"].T + w["cb"], np.einsum("nd,nmd->nm", h, w["m"][sym % lm.CLASSES]) + w["mb"][sym % lm.CLASSES]
+    want = sum(z[np.arange(n), at] - np.log(np.exp(z).sum(1)) for z, at in ((c, sym % lm.CLASSES), (m, sym // lm.CLASSES)))
+    assert np.abs(got - want).max() < 1e-4
+    assert sum(sizes) == n * (lm.CLASSES + lm.MEMBERS)
