@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,37 +41,44 @@ def permutations(perms: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] for p in pairs], dtype=np.uint64), np.array([p[1] for p in pairs], dtype=np.uint64)
 
 
-def signature(text: str | None, perms: int = 256, words: int = 5, least: int = 5, chunk: int = 512) -> np.ndarray:
+def signature(text: str | None, perms: int = 256, words: int = 5, least: int = 5, chunk: int = 64) -> np.ndarray:
     """perms minima over the text's distinct word n-grams, in wrapping 64-bit arithmetic; all MAX_HASH under `least` words."""
     w = SEPARATOR.split(text or "")
-    out = np.full(perms, MAX_HASH, dtype=np.uint64)
+    out = np.full(perms, MAX_HASH, dtype=np.uint32)
     if len(w) < least:
-        return out
-    a, b = permutations(perms)
-    grams = {" ".join(w[i : i + words]) for i in range(len(w) - words + 1)}
-    h = np.array([int.from_bytes(hashlib.sha1(g.encode()).digest()[:4], "little") for g in grams], dtype=np.uint64)
-    for i in range(0, len(h), chunk):  # bounds memory on long texts
-        x = h[i : i + chunk, None] * a + b
-        x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))  # the remainder by 2^61 - 1, or the divisor too much
-        np.minimum(out, (np.where(x >= PRIME, x - np.uint64(PRIME), x) & np.uint64(MAX_HASH)).min(axis=0), out=out)
-    return out
+        return out.astype(np.uint64)
+    (a, b), sha1 = permutations(perms), hashlib.sha1
+    grams = set(map(" ".join, zip(*(w[i:] for i in range(words)), strict=False))) if len(w) >= words else set()
+    h = np.frombuffer(b"".join([sha1(g.encode()).digest()[:4] for g in grams]), dtype="<u4").astype(np.uint64)
+    for i in range(0, len(h), chunk):  # a chunk's numbers stay in the cache
+        x = np.multiply.outer(h[i : i + chunk], a)
+        x += b
+        high = x >> np.uint64(61)
+        x &= np.uint64(PRIME)
+        x += high  # the remainder by 2^61 - 1, or the divisor too much; less the divisor the low 32 bits are one more
+        low = x.astype(np.uint32)
+        low += x >= PRIME
+        np.minimum(out, low.min(axis=0), out=out)
+    return out.astype(np.uint64)
 
 
 def bands(docs: DataFrame, key: str, text: str, threshold: float, perms: int = 256) -> DataFrame:
     """key, band, hash (bytes).  Texts without an n-gram share their whole signature, so one band stands for it."""
     b, r = band_choice(threshold, perms)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for k, t in zip(f[key], f[text], strict=True):
-                s = signature(t, perms)
-                n = 1 if (s == MAX_HASH).all() else b
-                raw = s.astype("<u4").tobytes()
-                out += [(k, i, raw[4 * r * i : 4 * r * (i + 1)]) for i in range(n)]
-            yield pd.DataFrame(out, columns=[key, "band", "hash"])
-
-    return docs.select(key, text).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, band int, hash binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            if not t.num_rows:
+                continue
+            s = np.stack([signature(x, perms) for x in t.column(1).to_pylist()]).astype("<u4")
+            n = np.where((s == MAX_HASH).all(axis=1), 1, b)
+            row = np.repeat(np.arange(len(n)), n)
+            band = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            raw = s[:, : b * r].reshape(-1, r)[row * b + band]
+            hashes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * r), len(row), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([t.column(0).take(pa.array(row)), pa.array(band.astype(np.int32)), hashes], [key, "band", "hash"])
+
+    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, band int, hash binary")
 
 
 def clusters(docs: DataFrame, key: str, text: str, threshold: float = 0.7, perms: int = 256) -> DataFrame:
