@@ -30,8 +30,7 @@ h AS (SELECT heads FROM g ORDER BY i DESC LIMIT 1)
 SELECT o.vec_id, r.vec_id AS representative FROM near n CROSS JOIN h JOIN o ON o.i = n.i JOIN o r ON r.i = CASE WHEN list_contains(h.heads, n.i) THEN n.i ELSE list_min(list_intersect(h.heads, n.earlier)) END""")
 def greedy_fact_clusters(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    edges = similarity.matches(e, e, "vec_id", "embedding", LEAST)
-    return consolidate.greedy_clusters(e, edges, "vec_id", F.struct(-F.col("label"), F.col("vec_id")))
+    return consolidate.leaders(e, "vec_id", "embedding", F.struct(-F.col("label"), F.col("vec_id")), LEAST)
 
 
 @add(None)
